@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-from itertools import repeat
 
 #: Folder of the vocabulary files; a parameter of every operator here.
 TOKENIZERS = os.environ.get("LEDGERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -24,6 +23,11 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 pieces = PIECE.findall
+#: piece_bpe_32k has tokens of a mark and a carriage return, so there that return ends a piece instead of starting one.
+_INNER = SPACE.replace("\\t-\\r", "\\t-\\x0c")
+PIECE_CR = re.compile(f"[{_INNER}]*[^{_INNER}]+|[{_INNER}]+")
+
+_DIGIT = re.compile("[1-9]").sub
 
 #: Entries a worker's memory of pieces may hold before it starts anew.
 MEMORY = 300_000
@@ -77,7 +81,8 @@ def _word_sizes(folder: str, name: str):
             return sum(map(word.__getitem__, words(p.lower())))
         return len(t.encode(p, add_special_tokens=False).ids)
 
-    memory = Memory(size)
+    shape = Memory(size)
+    memory = Memory(lambda p: shape[_DIGIT("0", p)])  # each digit is a token, whichever it is
     return lambda parts: list(map(memory.__getitem__, parts))
 
 
@@ -87,10 +92,11 @@ def _sentence_sizes(folder: str, name: str):
     encode = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{name}.model").encode
 
     def later(p: str) -> int:
-        # a text gets one space put in front: it stands for the piece's own first space, or is taken off again
-        return len(encode(p[1:])) if p[0] == " " else len(encode(p)) - 1
+        # a digit is always a token of its own, and so is the space that the library puts before a text's first character
+        return len(encode("0" + p)) - 2
 
-    first, memory = Memory(lambda p: len(encode(p))), Memory(later)
+    first, shape = Memory(lambda p: len(encode(p))), Memory(later)
+    memory = Memory(lambda p: shape[_DIGIT("0", p)])  # each digit is a token, whichever it is
 
     def sizes(parts: list[str]) -> list[int]:
         return [first[parts[0]], *map(memory.__getitem__, parts[1:])] if parts else []
@@ -99,21 +105,26 @@ def _sentence_sizes(folder: str, name: str):
 
 
 _KINDS = (("tiktoken", _byte_sizes), ("model", _sentence_sizes), ("json", _word_sizes))
-_sizers: dict[tuple[str, str], object] = {}
+_sizers: dict[tuple[str, str], tuple] = {}
 
 
 def sizer(folder: str, name: str):
-    """A function from a list of pieces (of one text, in order) to the number of tokens of each; kept per worker."""
+    """Two functions: the cut of a text into pieces, and from the pieces (of one text, in order) to the number of tokens of
+    each. Kept per worker."""
     if (folder, name) not in _sizers:
         kind = next((make for end, make in _KINDS if os.path.exists(f"{folder}/{name}.{end}")), None)
         if kind is None:
             raise FileNotFoundError(f"no tokenizer {name} in {folder}")
-        _sizers[folder, name] = kind(folder, name)
+        _sizers[folder, name] = (PIECE_CR.findall if kind is _sentence_sizes else pieces, kind(folder, name))
     return _sizers[folder, name]
 
 
 def counts(folder: str, names: list[str], texts: list[str | None]) -> list[list[int]]:
     """Tokens of each text by each tokenizer; 0 for null and empty texts."""
-    fs = [sizer(folder, n) for n in names]
-    cut = [pieces(t) if t else [] for t in texts]
-    return [list(map(sum, map(f, cut))) for f, cut in zip(fs, repeat(cut), strict=False)]
+    out = []
+    cut = {}
+    for cutter, sizes in (sizer(folder, n) for n in names):
+        if cutter not in cut:
+            cut[cutter] = [cutter(t) if t else [] for t in texts]
+        out.append(list(map(sum, map(sizes, cut[cutter]))))
+    return out
