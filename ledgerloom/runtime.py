@@ -56,3 +56,23 @@ def join_checked(rows: DataFrame, small: DataFrame, key: str, how: str = "inner"
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once per session, so that their workers can import it anywhere."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom.zip")  # on the driver; executors fetch it from there
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._ledgerloom_shipped = True
