@@ -115,15 +115,15 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + p * 0.1 * (1 - jaro)
 
 
-def similar(a: str, b: str) -> bool:
-    """Jaro-Winkler first; then one slip at most, two in very long tokens."""
+def similar(a: str, b: str, loose: bool = False) -> bool:
+    """Jaro-Winkler first; then one slip at most, two in very long tokens, or in long ones if ``loose``."""
     if a == b:
         return True
     if min(len(a), len(b)) < 4 or jaro_winkler(a, b) < LEAST_SIMILAR:
         return False
     if one_edit(a, b):
         return True
-    return len(a) >= 14 and len(b) >= 14 and two_edits(a, b)
+    return min(len(a), len(b)) >= (6 if loose else 14) and two_edits(a, b)
 
 
 def two_edits(a: str, b: str) -> bool:
@@ -270,12 +270,13 @@ def block_keys(form: Form) -> list[str]:
     return sorted(keys)
 
 
-def same(a: Form, b: Form) -> bool:
-    """Whether two forms can name the same firm or person."""
+def same(a: Form, b: Form, loose: bool = False) -> bool:
+    """Whether two forms can name the same firm or person. ``loose``: where other evidence (one invoice number) joins them,
+    either side may have a slip in the same word."""
     if a[0] != b[0]:
         return False
     if a[0] == "person":
-        if not similar(a[2][0], b[2][0]):
+        if not similar(a[2][0], b[2][0], loose):
             return False
         x, y = set(a[1]), set(b[1])
         if x & y:
@@ -283,24 +284,24 @@ def same(a: Form, b: Form) -> bool:
         return any(g.endswith(".") and any(h.startswith(g[0]) for h in other) for mine, other in ((x, y), (y, x)) for g in mine)
     if a[1] and b[1] and not set(a[1]) & set(b[1]):
         return False
-    return _stems_match(a, b)
+    return _stems_match(a, b, loose)
 
 
-def _stems_match(a: Form, b: Form) -> bool:
+def _stems_match(a: Form, b: Form, loose: bool) -> bool:
     s, t = a[2], b[2]
     if len(s) == 2 and len(t) == 2:
         for i, j in ((0, 1), (1, 0)):
-            if _stem(s[0], a[3][0], t[i], b[3][i]) and _stem(s[1], a[3][1], t[j], b[3][j]):
+            if _stem(s[0], a[3][0], t[i], b[3][i], loose) and _stem(s[1], a[3][1], t[j], b[3][j], loose):
                 return True
         return False
     if len(s) == len(t) == 1:
-        return _stem(s[0], a[3][0], t[0], b[3][0])
+        return _stem(s[0], a[3][0], t[0], b[3][0], loose)
     joins = lambda x: {"".join(x), "".join(reversed(x))}
-    return any(similar(x, y) for x in joins(s) for y in joins(t))
+    return any(similar(x, y, loose) for x in joins(s) for y in joins(t))
 
 
-def _stem(x: str, x_cut: bool, y: str, y_cut: bool) -> bool:
-    if similar(x, y):
+def _stem(x: str, x_cut: bool, y: str, y_cut: bool, loose: bool) -> bool:
+    if similar(x, y, loose):
         return True
     if x_cut and len(x) >= 3 and len(y) > len(x):
         return y.startswith(x) or (len(x) >= 4 and one_edit(x, y[: len(x)]))
