@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import data_checks
+from ledgerloom.plans import data_checks, reference_queries
 
-QUERIES = {**data_checks.QUERIES}
-ORACLES: dict[str, str] = {}
-ENTRY = data_checks.p3_found
+QUERIES = {**data_checks.QUERIES, **reference_queries.QUERIES}
+ORACLES: dict[str, str] = {**data_checks.ORACLES, **reference_queries.ORACLES}
+ENTRY = reference_queries.reconcile_status
