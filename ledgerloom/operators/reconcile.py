@@ -65,8 +65,8 @@ def newest(df: DataFrame, order: str, tie: str, n: int) -> DataFrame:
 def bag_matches(got: DataFrame, want: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """(group, matched, got, want): size of the multiset intersection of two tables per group; each row counts once."""
     n = lambda df, name: df.groupBy(group, *columns).agg(F.count("*").alias(name))
-    both = n(got, "g").join(n(want, "w"), [group, *columns], "full_outer").fillna(0, ["g", "w"])
-    return both.groupBy(group).agg(F.sum(F.least("g", "w")).alias("matched"), F.sum("g").alias("got"), F.sum("w").alias("want"))
+    both = n(got, "_got").join(n(want, "_want"), [group, *columns], "full_outer").fillna(0, ["_got", "_want"])
+    return both.groupBy(group).agg(F.sum(F.least("_got", "_want")).alias("matched"), F.sum("_got").alias("got"), F.sum("_want").alias("want"))
 
 
 def first_of_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
