@@ -129,7 +129,8 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     content = materialise(content, "content")
     repeated = rows.select("doc_id", "sha256", "number", "vendor").join(content, "sha256", "left")
     nodes = materialise(repeated.select("doc_id", F.coalesce("node", "doc_id").alias("node"), "number", "vendor"), "nodes")
-    named = nodes.where("number <> '' AND vendor <> ''").select("node", "number", "vendor").distinct()
+    plain = F.regexp_replace(F.lower("vendor"), r"[^\p{L}\p{N}]+", "")
+    named = nodes.where((F.col("number") != "") & (plain != "") & ~plain.isin(*names.PLACEHOLDERS)).select("node", "number", "vendor").distinct()
     first = named.groupBy("number", "vendor").agg(F.min("node").alias("first"), F.count("*").alias("n"))
     first = materialise(first, "first")
     edges = named.join(first.where("n > 1"), ["number", "vendor"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -167,27 +168,48 @@ class SegmentIndex:
 
     @property
     def content(self) -> DataFrame:
-        """(sha256, doc_id, first): each content seen, by its first document and that document's own first."""
-        return self._table("content", "sha256 string, doc_id long, first long")
+        """(sha256, first): each content seen, with the earliest document of its class."""
+        return self._table("content", "sha256 string, first long")
 
     @property
     def segments(self) -> DataFrame:
         return self._table("segments", "node long, number string, form string, segment string")
 
+    @property
+    def merged(self) -> DataFrame:
+        """(node, first): classes that a later document showed to be one."""
+        return self._table("merged", "node long, first long")
+
+    def _resolved(self, nodes: DataFrame) -> DataFrame:
+        """Edges (a, b) from stored classes to those they were merged into, step by step; chains are as long as merges were
+        nested, and only classes the batch touches are looked up."""
+        edges, reach = None, nodes.select("node").distinct()
+        while True:
+            hop = materialise(self.merged.join(reach, "node", "left_semi"), "hop")
+            if hop.isEmpty():
+                return edges if edges is not None else hop.select(F.col("first").alias("a"), F.col("node").alias("b"))
+            step = hop.select(F.col("first").alias("a"), F.col("node").alias("b"))
+            edges = step if edges is None else edges.unionByName(step)
+            reach = hop.select(F.col("first").alias("node")).distinct()
+
     def accept_batch(self, rows: DataFrame) -> DataFrame:
-        """Check a batch (the columns of ``documents``) against everything accepted, append it, and return its repeats."""
-        rows = materialise(rows, "batch")
+        """Check a batch (the columns of ``documents``) against everything accepted, append it, and return its repeats:
+        what ``repeats`` says of these documents when the collection ends with this batch."""
+        rows = materialise(rows.select("doc_id", "sha256", "number", "vendor"), "batch")
         seen = materialise(self.content.join(rows.select("sha256").distinct(), "sha256", "left_semi"), "seen")
-        known = rows.join(seen.select("sha256", F.col("first").alias("known")), "sha256", "left")
-        nodes, edges, records = _classes(known.select("doc_id", "sha256", "number", "vendor"))
-        old = known.where("known IS NOT NULL").select(F.col("known").alias("a"), F.col("doc_id").alias("b"))
+        nodes, edges, records = _classes(rows)
+        by_content = rows.join(seen, "sha256").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
         entries = materialise(index_entries(records), "entries")
         near = self.segments.join(records.select("number").distinct(), "number", "left_semi")
-        links = edges.unionByName(probe(records, near.unionByName(entries))).unionByName(old.join(nodes, F.col("b") == F.col("doc_id")).select("a", F.col("node").alias("b")))
-        out = materialise(_named(nodes, connected_components(links)), "repeats")
-        firsts = nodes.join(out.select("doc_id", "first_doc_id"), "doc_id", "left").select("doc_id", F.coalesce("first_doc_id", "doc_id").alias("first"))
-        new = rows.join(seen.select("sha256"), "sha256", "left_anti").where("sha256 IS NOT NULL").join(firsts, "doc_id").groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"))
-        new.write.mode("append").parquet(f"{self.folder}/content")
-        stored = entries.join(firsts.select(F.col("doc_id").alias("node"), "first"), "node").select(F.col("first").alias("node"), "number", "form", "segment")
-        stored.distinct().write.mode("append").parquet(f"{self.folder}/segments")
-        return out
+        exact = nodes.where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+        links = materialise(edges.unionByName(probe(records, near.unionByName(entries))).unionByName(by_content).unionByName(exact), "links")
+        links = links.unionByName(self._resolved(links.select(F.col("a").alias("node"))))
+        labels = materialise(connected_components(links), "labels")
+        own = rows.select("doc_id")
+        firsts = materialise(own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("first")), "firsts")
+        fresh = rows.where("sha256 IS NOT NULL").join(seen.select("sha256"), "sha256", "left_anti").join(firsts, "doc_id").groupBy("sha256").agg(F.min("first").alias("first"))
+        stored = entries.join(firsts.withColumnRenamed("doc_id", "node"), "node").select(F.col("first").alias("node"), "number", "form", "segment").distinct()
+        old = labels.where("node <> component").join(own.withColumnRenamed("doc_id", "node"), "node", "left_anti").select("node", F.col("component").alias("first"))
+        for name, df in (("content", fresh), ("segments", stored), ("merged", old)):
+            df.write.mode("append").parquet(f"{self.folder}/{name}")
+        return firsts.where("first < doc_id").select(F.col("first").alias("first_doc_id"), "doc_id")
