@@ -23,24 +23,26 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm import tokens
 
 PAGE, PARAGRAPH, LINE, SENTENCE, WORD = range(5)
-_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
-_BREAK = re.compile(r"\r\n|[\n\r\x0b\x85  ]")
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\r*$").search
+_BREAK = re.compile(r"\r\n|[\n\r\x0b\x85\u2028\u2029]").findall
 
 
-def boundary(before: str, piece: str) -> int:
-    """The strongest separator between two neighbouring pieces (the second starts with the white space between them)."""
+def _marks(piece: str) -> tuple[int, bool]:
+    """The separator a piece starts with (WORD without a break), and whether a sentence ends with it."""
     stripped = piece.lstrip()
     space = piece[: len(piece) - len(stripped)] if stripped else piece
-    tail = before[len(before.rstrip("\r")) :]  # some cuts leave a carriage return with the piece before
-    space = tail + space
-    if space == " ":
-        return SENTENCE if _SENTENCE_END.search(before) else WORD
-    if "\f" in space:
-        return PAGE
-    breaks = len(_BREAK.findall(space))
-    if breaks:
-        return PARAGRAPH if breaks > 1 else LINE
-    return SENTENCE if _SENTENCE_END.search(before) else WORD
+    breaks = len(_BREAK(space))
+    kind = PAGE if "\f" in space else PARAGRAPH if breaks > 1 else LINE if breaks else WORD
+    return kind, bool(_SENTENCE_END(piece))
+
+
+_marked = tokens.Memory(_marks)
+
+
+def boundaries(parts: list[str]) -> list[int]:
+    """For each piece the separator between it and the piece before; the first starts a page."""
+    marks = list(map(_marked.__getitem__, parts))
+    return [PAGE, *[k if k < WORD or not end else SENTENCE for (k, _), (_, end) in zip(marks[1:], marks)]]
 
 
 def units(levels: list[int], prefix: list[int], fits: int) -> list[tuple[int, int]]:
@@ -83,17 +85,37 @@ def _characters(text: str, start: int, end: int, limit: int, overlap: int, size)
         at = back
 
 
-def split_text(text: str, limit: int, overlap: int, cut, sizes) -> list[tuple[int, int, int]]:
+class Cut:
+    """A text's pieces, and what is worked out of them only where a text is too long; shared by budgets of one cut."""
+
+    def __init__(self, text: str, cut):
+        self.parts = cut(text)
+        self.sizes: dict[object, list[int]] = {}
+        self._places: tuple[list[int], list[int]] | None = None
+
+    def sized(self, sizes) -> list[int]:
+        if sizes not in self.sizes:
+            self.sizes[sizes] = sizes(self.parts)
+        return self.sizes[sizes]
+
+    def places(self) -> tuple[list[int], list[int]]:
+        """Separators before the pieces, and where each starts."""
+        if self._places is None:
+            self._places = boundaries(self.parts), [0, *accumulate(map(len, self.parts))]
+        return self._places
+
+
+def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text above the limit; [] for one within it."""
     if limit < 8:
         raise ValueError("a limit under 8 tokens is too small for any character")
-    parts = cut(text)
-    n = sizes(parts)
+    known = known or Cut(text, cut)
+    parts, n = known.parts, known.sized(sizes)
     if sum(n) <= limit:
         return []
     overlap = min(overlap, limit // 2)
-    prefix, offset = [0, *accumulate(n)], [0, *accumulate(map(len, parts))]
-    levels = [PAGE, *map(boundary, parts, parts[1:])]
+    prefix = [0, *accumulate(n)]
+    levels, offset = known.places()
     alone: dict[int, int] = {}
 
     def first(i: int) -> int:  # tokens of piece i where a text begins with it
@@ -118,7 +140,7 @@ def split_text(text: str, limit: int, overlap: int, cut, sizes) -> list[tuple[in
     begin = end = 0  # the piece being filled: pieces [begin, end), of which [begin, fresh) are overlap
     fresh = 0
     for a, b in units(levels, prefix, limit - overlap - 1):
-        if b - a == 1 and first(a) > limit - overlap - 1:
+        if b - a == 1 and prefix[b] - prefix[a] > limit - overlap - 3 and first(a) > limit - overlap - 1:
             if end > fresh:
                 out.append((offset[begin], offset[end], span(begin, end)))
             for x, y in _characters(text, offset[a], offset[b], limit, overlap, whole):
@@ -158,8 +180,11 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not t:
                     continue
+                cuts: dict[object, Cut] = {}
                 for i, limit, overlap, cut, sizes in makers:
-                    for no, (a, b, n) in enumerate(split_text(t, limit, overlap, cut, sizes), 1):
+                    if cut not in cuts:
+                        cuts[cut] = Cut(t, cut)
+                    for no, (a, b, n) in enumerate(split_text(t, limit, overlap, cut, sizes, cuts[cut]), 1):
                         rows.append((i, k, no, a, b, n, t[a:b]))
                         held += b - a
                 if held > 4_000_000:

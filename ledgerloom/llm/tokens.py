@@ -28,6 +28,7 @@ _INNER = SPACE.replace("\\t-\\r", "\\t-\\x0c")
 PIECE_CR = re.compile(f"[{_INNER}]*[^{_INNER}]+|[{_INNER}]+")
 
 _DIGIT = re.compile("[1-9]").sub
+_SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 #: Entries a worker's memory of pieces may hold before it starts anew.
 MEMORY = 300_000
@@ -57,28 +58,24 @@ def byte_encoding(folder: str, name: str = "byte_bpe_50k"):
 
 
 def _byte_sizes(folder: str, name: str):
-    import regex
-
-    encode, words = byte_encoding(folder, name).encode_ordinary, regex.compile(BYTE_PATTERN).findall
-    word = Memory(lambda w: len(encode(w)))
-    memory = Memory(lambda p: sum(map(word.__getitem__, words(p))))
+    encode = byte_encoding(folder, name).encode_ordinary
+    memory = Memory(lambda p: len(encode(p)))
     return lambda parts: list(map(memory.__getitem__, parts))
 
 
 def _word_sizes(folder: str, name: str):
-    import unicodedata
-
     import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(f"{folder}/{name}.json")
     t.encode_special_tokens = True
-    words = regex.compile(WORD_PATTERN).findall
+    ascii_words, words = re.compile(WORD_PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.A).findall, regex.compile(WORD_PATTERN).findall
     word = Memory(lambda w: len(t.encode(w, add_special_tokens=False).ids))
 
     def size(p: str) -> int:
         if p.isascii():
-            return sum(map(word.__getitem__, words(p.lower())))
+            # the four separators that Python, but not the tokenizer, takes for white space go the long way
+            return sum(map(word.__getitem__, (words if _SEPARATOR(p) else ascii_words)(p.lower())))
         return len(t.encode(p, add_special_tokens=False).ids)
 
     shape = Memory(size)
