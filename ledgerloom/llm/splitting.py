@@ -13,7 +13,7 @@ empty table gives an empty table; a limit under 8 tokens is an error, an overlap
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -45,43 +45,61 @@ def boundaries(parts: list[str]) -> list[int]:
     return [PAGE, *[k if k < WORD or not end else SENTENCE for (k, _), (_, end) in zip(marks[1:], marks)]]
 
 
-def units(levels: list[int], prefix: list[int], fits: int) -> list[tuple[int, int]]:
+def units(strong: list[list[int]], prefix: list[int], fits: int) -> list[tuple[int, int]]:
     """Ranges of pieces, in order: each is a block between separators as strong as possible with at most ``fits`` tokens,
-    or a single piece."""
+    or a single piece. ``strong[level]``: the pieces that a separator of this level or a stronger one precedes."""
     out: list[tuple[int, int]] = []
-    work = [(0, len(levels), PAGE)]
+    work = [(0, len(prefix) - 1, PAGE)]
     while work:
         a, b, level = work.pop()
-        if prefix[b] - prefix[a] <= fits or b - a == 1 or level > WORD:
+        if prefix[b] - prefix[a] <= fits or b - a == 1:
             out.append((a, b))
             continue
         if level == WORD:
-            out += [(i, i + 1) for i in range(a, b)]
+            out += zip(range(a, b), range(a + 1, b + 1))
             continue
-        cuts = [a, *(i for i in range(a + 1, b) if levels[i] <= level), b]
+        at = strong[level]
+        cuts = [a, *at[bisect_right(at, a) : bisect_left(at, b)], b]
         work += [(x, y, level + 1) for x, y in zip(cuts[-2::-1], cuts[:0:-1], strict=True)]
     return out
 
 
-def _characters(text: str, start: int, end: int, limit: int, overlap: int, size) -> Iterator[tuple[int, int]]:
-    """Cuts of a run without white space: (start, end) of pieces of at most ``limit`` tokens, as long as they can be."""
+def _fitting(measure, most_chars: int, limit: int, per_char: float) -> tuple[int, int]:
+    """About the most characters (1 at least) whose tokens, by ``measure``, are within the limit, and their tokens: guessed
+    from tokens a character, then narrowed until at most a thirtieth of the limit, or 2 tokens, stay unused."""
+    low, high, at, found = 0, most_chars + 1, max(1, min(most_chars, int(limit / per_char))), 0
+    close = max(2, limit // 30)
+    for _ in range(64):
+        n = measure(at)
+        if n <= limit:
+            low, found = at, n
+            if limit - n <= close or at + 1 >= high:
+                break
+            at = min(high - 1, at + max(1, int((limit - n) / per_char)))
+        else:
+            high = at
+            if at - 1 <= low:
+                break
+            at = max(low + 1, min(at - 1, at - max(1, int((n - limit) / per_char))))
+            if at >= high:
+                break
+    return (low, found) if low else (1, measure(1))
+
+
+def _characters(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size) -> Iterator[tuple[int, int, int]]:
+    """Cuts of a run without white space that has ``tokens_in`` tokens: (start, end, tokens) of pieces within the limit."""
+    per_char = max(0.01, tokens_in / (end - start))
     at = start
     while True:
-        low, high = at + 1, min(end, at + max(1, limit))
-        while high < end and size(text[at:high]) <= limit:
-            low, high = high, min(end, at + 2 * (high - at))
-        if size(text[at:high]) <= limit:
-            low = high
-        else:
-            while low + 1 < high:
-                mid = (low + high) // 2
-                low, high = (mid, high) if size(text[at:mid]) <= limit else (low, mid)
-        yield at, low
+        chars, n = _fitting(lambda k: size(text[at : at + k]), end - at, limit, per_char)
+        low = at + chars
+        yield at, low, n
         if low >= end:
             return
         back = low
-        while overlap and back - 1 > at and size(text[back - 1 : low]) <= overlap:
-            back -= 1
+        if overlap and chars > 1:
+            shared, n = _fitting(lambda k: size(text[low - k : low]), chars - 1, overlap, per_char)
+            back = low - shared if n <= overlap else low  # one character alone can be more
         at = back
 
 
@@ -91,17 +109,19 @@ class Cut:
     def __init__(self, text: str, cut):
         self.parts = cut(text)
         self.sizes: dict[object, list[int]] = {}
-        self._places: tuple[list[int], list[int]] | None = None
+        self._places: tuple[list[list[int]], list[int]] | None = None
 
     def sized(self, sizes) -> list[int]:
         if sizes not in self.sizes:
             self.sizes[sizes] = sizes(self.parts)
         return self.sizes[sizes]
 
-    def places(self) -> tuple[list[int], list[int]]:
-        """Separators before the pieces, and where each starts."""
+    def places(self) -> tuple[list[list[int]], list[int]]:
+        """For each level the pieces that a separator as strong precedes, and where each piece starts."""
         if self._places is None:
-            self._places = boundaries(self.parts), [0, *accumulate(map(len, self.parts))]
+            levels = boundaries(self.parts)
+            cuts = [(i, k) for i, k in enumerate(levels) if k < WORD]
+            self._places = [[i for i, k in cuts if k <= level] for level in range(WORD)], [0, *accumulate(map(len, self.parts))]
         return self._places
 
 
@@ -115,7 +135,7 @@ def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | Non
         return []
     overlap = min(overlap, limit // 2)
     prefix = [0, *accumulate(n)]
-    levels, offset = known.places()
+    strong, offset = known.places()
     alone: dict[int, int] = {}
 
     def first(i: int) -> int:  # tokens of piece i where a text begins with it
@@ -123,13 +143,13 @@ def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | Non
             alone[i] = sizes(parts[i : i + 1])[0]
         return alone[i]
 
-    def span(a: int, b: int) -> int:
-        return first(a) + prefix[b] - prefix[a + 1] if b > a else 0
+    def extra(i: int) -> int:  # tokens more than in the text, of a piece of pieces that begins with piece i
+        return first(i) - n[i]
 
     def overlapping(a: int, end: int) -> int:
         """The first piece of the overlap before ``end``, no earlier than a + 1."""
-        s = max(a + 1, bisect_right(prefix, prefix[end] - overlap - 1))
-        while s < end and span(s, end) > overlap:
+        s = max(a + 1, bisect_left(prefix, prefix[end] - overlap))
+        while s < end and prefix[end] - prefix[s] + extra(s) > overlap:
             s += 1
         return s
 
@@ -137,24 +157,31 @@ def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | Non
         return sum(sizes(cut(s)))
 
     out: list[tuple[int, int, int]] = []
-    begin = end = 0  # the piece being filled: pieces [begin, end), of which [begin, fresh) are overlap
-    fresh = 0
-    for a, b in units(levels, prefix, limit - overlap - 1):
-        if b - a == 1 and prefix[b] - prefix[a] > limit - overlap - 3 and first(a) > limit - overlap - 1:
-            if end > fresh:
-                out.append((offset[begin], offset[end], span(begin, end)))
-            for x, y in _characters(text, offset[a], offset[b], limit, overlap, whole):
-                out.append((x, y, whole(text[x:y])))
+    begin = end = fresh = 0  # the piece being filled: pieces [begin, end), of which [begin, fresh) are overlap
+    more = extra(0)
+    fits = limit - overlap - 1
+
+    def close() -> None:
+        if end > fresh:
+            out.append((offset[begin], offset[end], prefix[end] - prefix[begin] + more))
+
+    for a, b in units(strong, prefix, fits):
+        if b - a == 1 and prefix[b] - prefix[a] > fits - 2 and first(a) > fits:
+            close()
+            out += _characters(text, offset[a], offset[b], limit, overlap, n[a], whole)
             begin = end = fresh = b
+            more = extra(b) if b < len(n) else 0
             continue
-        if end > fresh and span(begin, b) > limit:
-            out.append((offset[begin], offset[end], span(begin, end)))
-            begin, fresh = overlapping(begin, end), end
-        while begin < a and span(begin, b) > limit:
-            begin += 1
+        if prefix[b] - prefix[begin] + more > limit:
+            if end > fresh:
+                close()
+                begin, fresh = overlapping(begin, end), end
+                more = extra(begin)
+            while begin < a and prefix[b] - prefix[begin] + more > limit:
+                begin += 1
+                more = extra(begin)
         end = b
-    if end > fresh:
-        out.append((offset[begin], offset[end], span(begin, end)))
+    close()
     return out
 
 
@@ -182,6 +209,7 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
                     continue
                 cuts: dict[object, Cut] = {}
                 for i, limit, overlap, cut, sizes in makers:
+                    cut = cut if "\r" in t else tokens.pieces  # the cuts differ in carriage returns only
                     if cut not in cuts:
                         cuts[cut] = Cut(t, cut)
                     for no, (a, b, n) in enumerate(split_text(t, limit, overlap, cut, sizes, cuts[cut]), 1):

@@ -32,6 +32,8 @@ _SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 #: Entries a worker's memory of pieces may hold before it starts anew.
 MEMORY = 300_000
+#: Longer pieces aren't kept: they hardly repeat.
+LONG = 100
 
 
 class Memory(dict):
@@ -42,9 +44,11 @@ class Memory(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -96,7 +100,10 @@ def _sentence_sizes(folder: str, name: str):
     memory = Memory(lambda p: shape[_DIGIT("0", p)])  # each digit is a token, whichever it is
 
     def sizes(parts: list[str]) -> list[int]:
-        return [first[parts[0]], *map(memory.__getitem__, parts[1:])] if parts else []
+        out = list(map(memory.__getitem__, parts))
+        if out:
+            out[0] = first[parts[0]]
+        return out
 
     return sizes
 
