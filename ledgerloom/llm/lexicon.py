@@ -116,9 +116,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, n) over all texts: runs of non-space characters are counted first, then cut into the tokenizer's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words = regex.compile(tokens.BYTE_PATTERN).findall
+        words = tokens.byte_words()
         runs: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -164,10 +162,8 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
     name = build_lexicon(source, text, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
         lexicon = Lexicon(SparkFiles.get(name))
-        merge, words = tokens.byte_encoding(folder).encode_ordinary, regex.compile(tokens.BYTE_PATTERN).findall
+        merge, words = tokens.byte_encoding(folder).encode_ordinary, tokens.byte_words()
 
         def word_ids(w: str) -> bytes:
             known = lexicon[w.encode("utf-8", "replace")]

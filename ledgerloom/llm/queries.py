@@ -73,4 +73,20 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p4_found": p4_found, "p5_found": p5_found, "p5_records": p5_records, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_pieces": p8_pieces}
-ORACLES: dict[str, str] = {}
+def _norm(x: str) -> str:
+    """Letters and digits in one case; the ligature has no upper case in DuckDB, so it is spelled out."""
+    return rf"regexp_replace(lower(replace(coalesce({x}, ''), 'ß', 'ss')), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+def _fields(columns: list[str]) -> str:
+    return "concat_ws(chr(31), " + ", ".join(_norm(c) for c in columns) + ")"
+
+
+_RECORDS = f"""r as (select 'invoice_register' source_table, row_id id, {_fields(REGISTER)} c from invoice_register union all
+    select 'extracted_invoices', invoice_id, {_fields([c + ".value" for c in EXTRACTED])} from extracted_invoices union all
+    select 'invoice_exports', rec_id, array_to_string(list_sort(list_transform(json_keys(record), lambda k: concat({_norm("k")}, chr(31), {_norm("json_extract_string(record, concat('$.\"', k, '\"'))")}))), chr(30)) from invoice_exports)"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"with {_RECORDS}, g as (select *, min(id) over (partition by source_table, c) first_id from r) select source_table, first_id, id as copy_id from g where id <> first_id",
+    "p5_records": f"with {_RECORDS} select source_table, min(id) as first_id, count(*) as copies from r group by source_table, c",
+}

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -36,13 +37,9 @@ def _marks(piece: str) -> tuple[int, bool]:
     return kind, bool(_SENTENCE_END(piece))
 
 
-_marked = tokens.Memory(_marks)
-
-
-def boundaries(parts: list[str]) -> list[int]:
+def boundaries(kinds: list[int], ends: list[bool]) -> list[int]:
     """For each piece the separator between it and the piece before; the first starts a page."""
-    marks = list(map(_marked.__getitem__, parts))
-    return [PAGE, *[k if k < WORD or not end else SENTENCE for (k, _), (_, end) in zip(marks[1:], marks)]]
+    return [PAGE, *[k if k < WORD or not end else SENTENCE for k, end in zip(kinds[1:], ends)]]
 
 
 def units(strong: list[list[int]], prefix: list[int], fits: int) -> list[tuple[int, int]]:
@@ -104,47 +101,43 @@ def _characters(text: str, start: int, end: int, limit: int, overlap: int, token
 
 
 class Cut:
-    """A text's pieces, and what is worked out of them only where a text is too long; shared by budgets of one cut."""
+    """A text's pieces with their sizes by each tokenizer, and where it can be cut (worked out where a text is too long)."""
 
-    def __init__(self, text: str, cut):
-        self.parts = cut(text)
-        self.sizes: dict[object, list[int]] = {}
+    def __init__(self, parts: list[str], profile: tokens.Profile):
+        self.parts = parts
+        self.sizes, (self.kinds, self.ends) = profile.columns(parts)
         self._places: tuple[list[list[int]], list[int]] | None = None
 
-    def sized(self, sizes) -> list[int]:
-        if sizes not in self.sizes:
-            self.sizes[sizes] = sizes(self.parts)
-        return self.sizes[sizes]
-
     def places(self) -> tuple[list[list[int]], list[int]]:
         """For each level the pieces that a separator as strong precedes, and where each piece starts."""
         if self._places is None:
-            levels = boundaries(self.parts)
+            levels = boundaries(self.kinds, self.ends)
             cuts = [(i, k) for i, k in enumerate(levels) if k < WORD]
             self._places = [[i for i, k in cuts if k <= level] for level in range(WORD)], [0, *accumulate(map(len, self.parts))]
         return self._places
 
 
-def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | None = None) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of each piece of a text above the limit; [] for one within it."""
+@lru_cache(64)
+def _own(sizer: tokens.Sizer) -> tokens.Profile:
+    return tokens.Profile([sizer], _marks)
+
+
+def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of each piece of a text above the limit; [] for one within it. ``known``: the text's cut, where
+    it is there already, with the sizes by this tokenizer at position ``at``."""
     if limit < 8:
         raise ValueError("a limit under 8 tokens is too small for any character")
-    known = known or Cut(text, cut)
-    parts, n = known.parts, known.sized(sizes)
+    if not text:
+        return []
+    known = known or Cut(sizer.cut(text), _own(sizer))
+    parts, n = known.parts, known.sizes[at]
     if sum(n) <= limit:
         return []
     overlap = min(overlap, limit // 2)
     prefix = [0, *accumulate(n)]
     strong, offset = known.places()
-    alone: dict[int, int] = {}
-
-    def first(i: int) -> int:  # tokens of piece i where a text begins with it
-        if i not in alone:
-            alone[i] = sizes(parts[i : i + 1])[0]
-        return alone[i]
-
     def extra(i: int) -> int:  # tokens more than in the text, of a piece of pieces that begins with piece i
-        return first(i) - n[i]
+        return 0 if sizer.alone is sizer.later else sizer.first(parts[i]) - n[i]
 
     def overlapping(a: int, end: int) -> int:
         """The first piece of the overlap before ``end``, no earlier than a + 1."""
@@ -154,7 +147,7 @@ def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | Non
         return s
 
     def whole(s: str) -> int:
-        return sum(sizes(cut(s)))
+        return sum(sizer(sizer.cut(s)))
 
     out: list[tuple[int, int, int]] = []
     begin = end = fresh = 0  # the piece being filled: pieces [begin, end), of which [begin, fresh) are overlap
@@ -166,7 +159,7 @@ def split_text(text: str, limit: int, overlap: int, cut, sizes, known: Cut | Non
             out.append((offset[begin], offset[end], prefix[end] - prefix[begin] + more))
 
     for a, b in units(strong, prefix, fits):
-        if b - a == 1 and prefix[b] - prefix[a] > fits - 2 and first(a) > fits:
+        if b - a == 1 and prefix[b] - prefix[a] > fits - 2 and n[a] + extra(a) > fits:
             close()
             out += _characters(text, offset[a], offset[b], limit, overlap, n[a], whole)
             begin = end = fresh = b
@@ -194,7 +187,9 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
     schema = pa.schema([("budget_id", pa.int64()), (key, docs.select(key).limit(0).toArrow().schema.field(0).type), ("piece_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int32()), ("piece", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        makers = [(i, limit, overlap, *tokens.sizer(folder, name)) for i, name, limit, overlap in budgets]
+        sizers = [tokens.sizer(folder, n) for n in dict.fromkeys(n for _, n, _, _ in budgets)]
+        profile = tokens.Profile(sizers, _marks)
+        makers = [(i, limit, overlap, sizers.index(tokens.sizer(folder, name))) for i, name, limit, overlap in budgets]
         rows: list[tuple] = []
         held = 0
 
@@ -207,12 +202,11 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not t:
                     continue
-                cuts: dict[object, Cut] = {}
-                for i, limit, overlap, cut, sizes in makers:
-                    cut = cut if "\r" in t else tokens.pieces  # the cuts differ in carriage returns only
-                    if cut not in cuts:
-                        cuts[cut] = Cut(t, cut)
-                    for no, (a, b, n) in enumerate(split_text(t, limit, overlap, cut, sizes, cuts[cut]), 1):
+                known, odd = Cut(tokens.pieces(t), profile), "\r" in t  # the cuts of tokenizers differ in carriage returns only
+                for i, limit, overlap, at in makers:
+                    own = odd and sizers[at].cut is not tokens.pieces
+                    found = split_text(t, limit, overlap, sizers[at]) if own else split_text(t, limit, overlap, sizers[at], known, at)
+                    for no, (a, b, n) in enumerate(found, 1):
                         rows.append((i, k, no, a, b, n, t[a:b]))
                         held += b - a
                 if held > 4_000_000:

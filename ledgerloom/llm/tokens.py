@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from functools import lru_cache
 
 #: Folder of the vocabulary files; a parameter of every operator here.
 TOKENIZERS = os.environ.get("LEDGERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -31,7 +32,7 @@ _DIGIT = re.compile("[1-9]").sub
 _SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 #: Entries a worker's memory of pieces may hold before it starts anew.
-MEMORY = 300_000
+MEMORY = 500_000
 #: Longer pieces aren't kept: they hardly repeat.
 LONG = 100
 
@@ -61,13 +62,46 @@ def byte_encoding(folder: str, name: str = "byte_bpe_50k"):
     return tiktoken.Encoding(name, pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _byte_sizes(folder: str, name: str):
-    encode = byte_encoding(folder, name).encode_ordinary
-    memory = Memory(lambda p: len(encode(p)))
-    return lambda parts: list(map(memory.__getitem__, parts))
+class Sizer:
+    """Token counts of one tokenizer. ``later``: of a piece inside a text; ``alone``: of one a text begins with; ``shaped``:
+    whether each digit is a token, whichever it is, so that pieces alike but for their digits have one size."""
 
+    def __init__(self, later, alone=None, shaped: bool = False, cut=pieces):
+        self.later, self.alone, self.shaped, self.cut = later, alone or later, shaped, cut
+        shape = Memory(later)
+        self._memory = Memory(lambda p: shape[digits_as_zero(p)]) if shaped else shape
+        self._first = Memory(self.alone)
 
-def _word_sizes(folder: str, name: str):
+    def __call__(self, parts: list[str]) -> list[int]:
+        """Sizes of the pieces of one text, in order."""
+        out = list(map(self._memory.__getitem__, parts))
+        if out:
+            out[0] = self.first(parts[0])
+        return out
+
+    def first(self, piece: str) -> int:
+        return self._first[piece]
+
+
+def digits_as_zero(piece: str) -> str:
+    return _DIGIT("0", piece)
+
+
+def byte_words():
+    """The cut of a piece into the words of byte_bpe_50k; plain ASCII, nearly all pieces, has a faster pattern."""
+    import regex
+
+    plain, full = re.compile(BYTE_PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+"), re.A).findall, regex.compile(BYTE_PATTERN).findall
+    return lambda p: plain(p) if p.isascii() else full(p)
+
+
+def _byte_sizer(folder: str, name: str) -> Sizer:
+    encode, words = byte_encoding(folder, name)._core_bpe.encode_ordinary, byte_words()
+    word = Memory(lambda w: len(encode(w)))
+    return Sizer(lambda p: sum(map(word.__getitem__, words(p))))
+
+
+def _word_sizer(folder: str, name: str) -> Sizer:
     import regex
     from tokenizers import Tokenizer
 
@@ -82,53 +116,65 @@ def _word_sizes(folder: str, name: str):
             return sum(map(word.__getitem__, (words if _SEPARATOR(p) else ascii_words)(p.lower())))
         return len(t.encode(p, add_special_tokens=False).ids)
 
-    shape = Memory(size)
-    memory = Memory(lambda p: shape[_DIGIT("0", p)])  # each digit is a token, whichever it is
-    return lambda parts: list(map(memory.__getitem__, parts))
+    return Sizer(size, shaped=True)
 
 
-def _sentence_sizes(folder: str, name: str):
+def _sentence_sizer(folder: str, name: str) -> Sizer:
     import sentencepiece
 
     encode = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{name}.model").encode
+    # a digit is always a token of its own, and so is the space that the library puts before a text's first character
+    return Sizer(lambda p: len(encode("0" + p)) - 2, lambda p: len(encode(p)), True, PIECE_CR.findall)
 
-    def later(p: str) -> int:
-        # a digit is always a token of its own, and so is the space that the library puts before a text's first character
-        return len(encode("0" + p)) - 2
 
-    first, shape = Memory(lambda p: len(encode(p))), Memory(later)
-    memory = Memory(lambda p: shape[_DIGIT("0", p)])  # each digit is a token, whichever it is
-
-    def sizes(parts: list[str]) -> list[int]:
-        out = list(map(memory.__getitem__, parts))
-        if out:
-            out[0] = first[parts[0]]
-        return out
-
-    return sizes
-
-
-_KINDS = (("tiktoken", _byte_sizes), ("model", _sentence_sizes), ("json", _word_sizes))
-_sizers: dict[tuple[str, str], tuple] = {}
+_KINDS = (("tiktoken", _byte_sizer), ("model", _sentence_sizer), ("json", _word_sizer))
+_sizers: dict[tuple[str, str], Sizer] = {}
 
 
-def sizer(folder: str, name: str):
-    """Two functions: the cut of a text into pieces, and from the pieces (of one text, in order) to the number of tokens of
-    each. Kept per worker."""
+def sizer(folder: str, name: str) -> Sizer:
+    """The tokenizer's sizer; kept per worker."""
     if (folder, name) not in _sizers:
         kind = next((make for end, make in _KINDS if os.path.exists(f"{folder}/{name}.{end}")), None)
         if kind is None:
             raise FileNotFoundError(f"no tokenizer {name} in {folder}")
-        _sizers[folder, name] = (PIECE_CR.findall if kind is _sentence_sizes else pieces, kind(folder, name))
+        _sizers[folder, name] = kind(folder, name)
     return _sizers[folder, name]
 
 
+class Profile:
+    """Sizes by several tokenizers, and any other trait of a piece, looked up once per piece."""
+
+    def __init__(self, sizers: list[Sizer], trait=None):
+        self.sizers = sizers
+        shaped = [s.later for s in sizers if s.shaped]
+        exact = [s.later for s in sizers if not s.shaped]
+        self._order = [*(i for i, s in enumerate(sizers) if not s.shaped), *(i for i, s in enumerate(sizers) if s.shaped)]
+        shape = Memory(lambda q: (*(f(q) for f in shaped), *(trait(q) if trait else ())))
+        self._memory = Memory(lambda p: (*(f(p) for f in exact), *shape[digits_as_zero(p)]))
+
+    def columns(self, parts: list[str]) -> tuple[list[list[int]], list[tuple]]:
+        """For each tokenizer the sizes of the pieces of one text, and the traits' columns."""
+        cols = list(zip(*map(self._memory.__getitem__, parts), strict=True))
+        sizes: list[list[int]] = [[] for _ in self.sizers]
+        for i, col in zip(self._order, cols, strict=False):
+            sizes[i] = list(col)
+            if sizes[i] and self.sizers[i].alone is not self.sizers[i].later:
+                sizes[i][0] = self.sizers[i].first(parts[0])
+        return sizes, cols[len(self.sizers) :]
+
+
 def counts(folder: str, names: list[str], texts: list[str | None]) -> list[list[int]]:
     """Tokens of each text by each tokenizer; 0 for null and empty texts."""
-    out = []
-    cut = {}
-    for cutter, sizes in (sizer(folder, n) for n in names):
-        if cutter not in cut:
-            cut[cutter] = [cutter(t) if t else [] for t in texts]
-        out.append(list(map(sum, map(sizes, cut[cutter]))))
+    profile = _profile(folder, tuple(names))
+    out: list[list[int]] = [[] for _ in names]
+    for t in texts:
+        sizes = profile.columns(pieces(t))[0] if t else [[] for _ in names]
+        odd = "\r" in t if t else False
+        for i, (s, n) in enumerate(zip(profile.sizers, sizes, strict=True)):
+            out[i].append(sum(s(s.cut(t)) if odd and s.cut is not pieces else n))  # the cuts differ in carriage returns only
     return out
+
+
+@lru_cache(16)
+def _profile(folder: str, names: tuple[str, ...]) -> Profile:
+    return Profile([sizer(folder, n) for n in names])
