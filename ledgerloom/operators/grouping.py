@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import files
+from ledgerloom.runtime import ranked
 
 
 def _numbered(pages: DataFrame, batch: list[str], order: list[str], start: Column) -> DataFrame:
@@ -106,14 +105,18 @@ def page_runs(df: DataFrame, keys: list[str], page: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
-def unique_names(df: DataFrame, name: str, order: list[str], extension: str = ".pdf") -> DataFrame:
-    """Adds file_name and clashes: names alike but for letter case get (2), (3), ... in order, within the longest name."""
-    w = Window.partitionBy(F.lower(F.col(name)))
-    seen = F.row_number().over(w.orderBy(*order))
-    suffix = F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))
+def unique_names(df: DataFrame, name: str, order: str, extension: str = ".pdf") -> DataFrame:
+    """Adds file_name and clashes: names alike but for letter case get (2), (3), ... in order, within the longest name.
+
+    ``order`` is a unique whole number; a name that a large share of the rows has is numbered in ranges, not in one task.
+    """
+    low = df.withColumn("_low", F.lower(F.col(name)))
+    several = low.groupBy("_low").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n").withColumn("_several", F.lit(True))
+    numbered = ranked(low, ["_low"], order, "_k").join(several, "_low", "left").withColumn("clashes", F.coalesce("_several", F.lit(False)))
+    suffix = F.concat(F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))
     room = F.lit(files.LONGEST - len(extension)) - F.length(suffix)
-    numbered = df.withColumn("_n", seen).withColumn("clashes", F.count("*").over(w) > 1)
-    return numbered.withColumn("file_name", F.when(F.col("_n") == 1, F.concat(F.col(name), F.lit(extension))).otherwise(F.concat(files.cut_name(F.col(name), room), suffix, F.lit(extension)))).drop("_n")
+    full = F.when(F.col("_k") == 1, F.concat(F.col(name), F.lit(extension))).otherwise(F.concat(files.cut_name(F.col(name), room), suffix, F.lit(extension)))
+    return numbered.withColumn("file_name", full).drop("_low", "_k", "_several")
 
 
 def outliers(df: DataFrame, keys: list[str], value: str, margin: float = 500.0) -> DataFrame:
@@ -131,7 +134,3 @@ def outliers(df: DataFrame, keys: list[str], value: str, margin: float = 500.0)
     high = F.when((v == F.col("hi")) & (F.col("nhi") == 1), F.col("hi2")).otherwise(F.col("hi"))
     slack = F.greatest(high - low, F.lit(margin))
     return both.where((v < low - slack) | (v > high + slack)).select(*df.columns, low.alias("others_from"), high.alias("others_to"))
-
-
-def batches_of(it: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(it), ignore_index=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.shapes import wilson_lower
+from ledgerloom.runtime import at_ranks
 
 
 def rates(marks: DataFrame, by: list[str], right: str) -> DataFrame:
@@ -39,6 +40,7 @@ def needed_for(target: float) -> int:
 
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, p50, p95, largest): median and the 95th percentile by nearest rank below."""
-    n = df.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("p50"), F.max(value).alias("largest"), F.array_sort(F.collect_list(value)).alias("v"))
-    return n.select(*by, "p50", F.expr("v[least(n - 1, cast(floor(0.95 * n) as long))]").alias("p95"), "largest")
+    """(by, p50, p95, largest): the true median, and the value below which 95 % of the values lie by rank."""
+    n = F.col("n")
+    found = at_ranks(df, by, value, {"a": F.floor((n - 1) / 2), "b": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 0.95))})
+    return found.select(*by, ((F.col("a") + F.col("b")) / 2).alias("p50"), "p95", F.col("hi").alias("largest"))

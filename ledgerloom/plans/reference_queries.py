@@ -388,7 +388,7 @@ def page_runs(spark, d):
 )
 def unique_file_names(spark, d):
     rows = _t(spark, d, "invoice_register").select("row_id", F.coalesce("supplier", F.lit("")).alias("name"))
-    return grouping.unique_names(rows, "name", ["row_id"]).select("row_id", "file_name", "clashes")
+    return grouping.unique_names(rows, "name", "row_id").select("row_id", "file_name", "clashes")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group is hot when it holds more than this share of the rows, so at most 1 / HOT_SHARE groups are hot.
@@ -58,6 +58,43 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def ranked(df: DataFrame, keys: list[str], order: str, name: str = "rank", chunk: int = 100_000) -> DataFrame:
+    """Adds each row's number, from 1, within its key by a whole-number ``order`` column (no null).
+
+    A key is cut into ranges of ``order``: rows are numbered within a range, plus the rows of the ranges before, so a task
+    sorts at most a range's rows (``chunk``, where the order is unique) however many a key has.
+    """
+    cut = df.withColumn("_range", F.floor(F.col(order) / F.lit(chunk)))
+    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    same = [cut[k].eqNullSafe(before[k]) for k in keys]
+    joined = cut.join(before, [*same, cut["_range"] == before["_range"]]).drop(*[before[k] for k in [*keys, "_range"]])
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return joined.withColumn(name, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], parts: int = 1000) -> DataFrame:
+    """(by, n, lo, hi, one column per rank): the value at each rank (from 0; expressions over the group's count ``n``).
+
+    Exact, without gathering a group: values are counted in ``parts`` ranges between a group's ends, and only the range that
+    holds a rank is looked into, as counts of distinct values.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).alias("_v"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    wanted = ends.select(*by, "n", "lo", "hi", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("w")).select(*by, "lo", "hi", "w.name", "w.rank")
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(0)
+    placed = rows.join(ends.select(*by, "lo", "hi"), by).withColumn("_p", place).select(*by, "_p", "_v")
+    order = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    held = wanted.join(counts, by).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))).select(*by, "_p", "name", (F.col("rank") - F.col("_before")).alias("left"))
+    values = placed.join(held.select(*by, "_p").distinct(), [*by, "_p"], "left_semi").groupBy(*by, "_p", "_v").agg(F.count("*").alias("_n"))
+    inner = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_before", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    found = held.join(values, [*by, "_p"]).where((F.col("left") >= F.col("_before")) & (F.col("left") < F.col("_before") + F.col("_n")))
+    return ends.join(found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in ranks]), by)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the session's executors, once per session, so that their workers can import it anywhere."""
     import os

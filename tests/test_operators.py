@@ -64,7 +64,7 @@ def test_every_n_marker_runs_names(spark):
     run = grouping.page_runs(spark.createDataFrame([(1, p) for p in (1, 2, 3, 7, 7)], "b int, p int"), ["b"], "p").first().runs
     assert [(r.lo, r.hi) for r in run] == [(1, 3), (7, 7)]
     names = spark.createDataFrame([(1, "1001"), (2, "1001"), (3, "inv-1"), (4, "INV-1"), (5, "1001")], "i int, name string")
-    assert [r.file_name for r in grouping.unique_names(names, "name", ["i"]).orderBy("i").collect()] == ["1001.pdf", "1001 (2).pdf", "inv-1.pdf", "INV-1 (2).pdf", "1001 (3).pdf"]
+    assert [r.file_name for r in grouping.unique_names(names, "name", "i").orderBy("i").collect()] == ["1001.pdf", "1001 (2).pdf", "inv-1.pdf", "INV-1 (2).pdf", "1001 (3).pdf"]
 
 
 def test_outliers(spark):
@@ -129,3 +129,18 @@ def test_scoring(spark):
     got = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "g int, d string")
     want = spark.createDataFrame([(1, "x"), (1, "z")], "g int, d string")
     assert [tuple(r) for r in reconcile.bag_matches(got, want, "g", ["d"]).collect()] == [(1, 1, 3, 2)]
+
+
+def test_ranks_without_gathering_a_group(spark):
+    from ledgerloom.runtime import at_ranks, ranked
+
+    rng = random.Random(9)
+    data = [(rng.choice(["hot", "hot", "cold", None]), i) for i in range(500)]
+    got = {r.i: r["rank"] for r in ranked(spark.createDataFrame(data, "k string, i long"), ["k"], "i", chunk=37).collect()}
+    seen, want = {}, {}
+    for k, i in data:
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert got == want
+    values = [("a", float(rng.choice([1, 2, 2, 2, 1000, rng.random()]))) for _ in range(301)] + [("b", 5.0), ("c", None)]
+    r = {x.k: x for x in at_ranks(spark.createDataFrame(values, "k string, v double"), ["k"], "v", {"mid": F.floor(F.col("n") / 2)}, parts=7).collect()}
+    assert r["a"].mid == sorted(v for k, v in values if k == "a")[150] and r["b"].mid == 5.0 and "c" not in r
