@@ -252,7 +252,8 @@ def block_keys(form: Form) -> list[str]:
     if kind == "person":
         family = phonetic(stems[0])
         names = {g[:1] for g in first}
-        return sorted({f"p|{family}|{g}" for g in names} | {f"p|{h}|{g}" for g in first if not g.endswith(".") for h in _halves(family)})
+        halves = (*_halves(family), stems[0][0] + "-" + stems[0][-1])
+        return sorted({f"p|{family}|{g}" for g in names} | {f"p|{h}|{g}" for g in first if not g.endswith(".") for h in halves})
     keys = set()
     codes = [phonetic(s) for s in stems]
     if len(stems) == 2:
@@ -262,6 +263,8 @@ def block_keys(form: Form) -> list[str]:
                 keys |= {f"f|{codes[x]}|{head}", f"f|{codes[x]}|{head[:2]}"} | ({f"f|{codes[x]}|{tail}"} if not cut[y] else set())
                 keys |= {f"c|<{codes[x][:3]}|{head}", f"c|>{codes[x][-3:]}|{head}"}  # a slip in one, the other cut off
         whole = [codes[0] + codes[1], codes[1] + codes[0]] if not any(cut) else []
+        if len(first) == 1:  # a slip in either token leaves half of each; within one trade that is few enough
+            keys |= {f"h|{first[0]}|{'|'.join(sorted((x, y)))}" for x in _halves(codes[0]) for y in _halves(codes[1])}
     else:
         whole = ["".join(codes)]
     for w in whole:
@@ -291,6 +294,8 @@ def _stems_match(a: Form, b: Form, loose: bool) -> bool:
     s, t = a[2], b[2]
     if len(s) == 2 and len(t) == 2:
         for i, j in ((0, 1), (1, 0)):
+            if not loose and not (a[1] and b[1]) and s[0] != t[i] and s[1] != t[j]:
+                continue  # without its trade a name needs one word that is exactly the other's
             if _stem(s[0], a[3][0], t[i], b[3][i], loose) and _stem(s[1], a[3][1], t[j], b[3][j], loose):
                 return True
         return False
