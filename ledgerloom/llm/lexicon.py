@@ -19,6 +19,7 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,21 +157,27 @@ def build_lexicon(docs: DataFrame, text: str, folder: str, most: int = LEXICON_W
     return name
 
 
+@lru_cache(2)
+def _encoder(name: str, folder: str) -> tokens.Memory:
+    """A memory from pieces to packed ids, kept per worker with the mapped lexicon behind it."""
+    lexicon = Lexicon(SparkFiles.get(name))
+    merge, words = tokens.byte_encoding(folder).encode_ordinary, tokens.byte_words()
+
+    def word_ids(w: str) -> bytes:
+        known = lexicon[w.encode("utf-8", "replace")]
+        return np.asarray(merge(w), "<i4").tobytes() if known is None else known
+
+    word = tokens.Memory(word_ids)
+    return tokens.Memory(lambda p: b"".join(map(word.__getitem__, words(p))))
+
+
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = tokens.TOKENIZERS) -> DataFrame:
     """(key, ids): the ids of each text by byte_bpe_50k without special tokens."""
     source = docs.select(F.col(key), F.col(text))
     name = build_lexicon(source, text, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(SparkFiles.get(name))
-        merge, words = tokens.byte_encoding(folder).encode_ordinary, tokens.byte_words()
-
-        def word_ids(w: str) -> bytes:
-            known = lexicon[w.encode("utf-8", "replace")]
-            return np.asarray(merge(w), "<i4").tobytes() if known is None else known
-
-        word = tokens.Memory(word_ids)
-        piece = tokens.Memory(lambda p: b"".join(map(word.__getitem__, words(p))))
+        piece = _encoder(name, folder)
         get, cut = piece.__getitem__, tokens.pieces
         for batch in batches:
             blocks = [b"".join(map(get, cut(t))) if t else b"" for t in batch.column(1).to_pylist()]

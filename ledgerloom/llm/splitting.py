@@ -122,6 +122,12 @@ def _own(sizer: tokens.Sizer) -> tokens.Profile:
     return tokens.Profile([sizer], _marks)
 
 
+@lru_cache(16)
+def _shared(folder: str, names: tuple[str, ...]) -> tokens.Profile:
+    """One profile per worker: what it has seen serves its next tasks too."""
+    return tokens.Profile([tokens.sizer(folder, n) for n in names], _marks)
+
+
 def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text above the limit; [] for one within it. ``known``: the text's cut, where
     it is there already, with the sizes by this tokenizer at position ``at``."""
@@ -187,8 +193,8 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
     schema = pa.schema([("budget_id", pa.int64()), (key, docs.select(key).limit(0).toArrow().schema.field(0).type), ("piece_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int32()), ("piece", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizers = [tokens.sizer(folder, n) for n in dict.fromkeys(n for _, n, _, _ in budgets)]
-        profile = tokens.Profile(sizers, _marks)
+        profile = _shared(folder, tuple(dict.fromkeys(n for _, n, _, _ in budgets)))
+        sizers = profile.sizers
         makers = [(i, limit, overlap, sizers.index(tokens.sizer(folder, name))) for i, name, limit, overlap in budgets]
         rows: list[tuple] = []
         held = 0
