@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import streaming
 from ledgerloom.functions import dates, documents, files, keys, money, shapes
-from ledgerloom.operators import detect, grouping, known, reconcile, scoring, summary
+from ledgerloom.operators import detect, grouping, known, reconcile, scoring, summary, verify
 from ledgerloom.plans import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +538,47 @@ def vendors_seen_before(spark, d):
     docs = _t(spark, d, "documents").where("vendor IS NOT NULL").select("doc_id", F.lower("vendor").alias("v"))
     first = docs.groupBy("v").agg(F.min("doc_id").alias("f"))
     return docs.join(first, "v").select("doc_id", (F.col("f") < F.col("doc_id")).alias("seen_before"))
+
+
+# ---------------------------------------------------------------- checks of groups and fields
+
+_PAGES = r"""p as (select doc_id, unnest(range(1, len(string_split(text, chr(12))) + 1)) page_index, unnest(string_split(text, chr(12))) t from documents where text is not null),
+    x as (select doc_id, page_index, regexp_extract(t, '(?i)\b(?:page|pg\.?)\s*([0-9]{1,3})\s*(?:of|/)\s*([0-9]{1,3})\b', ['a', 'b']) l, regexp_extract(t, '(?im)^\s*([0-9]{1,3})\s+of\s+([0-9]{1,3})\s*$', ['a', 'b']) s from p),
+    m as (select doc_id, page_index, try_cast(case when l.a <> '' then l.a else s.a end as int) a, try_cast(case when l.a <> '' then l.b else s.b end as int) b from x), k as (select doc_id // 5 as stack, doc_id * 1000 + page_index as pos, a, b from m where a >= 1 and b >= a)"""
+
+
+@query(
+    f"""with {_PAGES}, o as (select *, lag(a) over (partition by stack order by pos) before from k), g as (select stack, bool_or(a = 1 and before is not null) r, coalesce(bool_or(a <= before), false) n, max(b) b, max(a) a from o group by stack)
+    select stack, case when r then 'restart' when n then 'order' else 'count' end as problem from g where r or n or a <> b"""
+)
+def page_order_problems(spark, d):
+    """Stacks of five documents as one scan each, whose printed page numbers then start anew."""
+    marked = pages(spark, d).select(F.floor(F.col("doc_id") / 5).alias("stack"), (F.col("doc_id") * 1000 + F.col("page_index")).alias("at"), shapes.page_marker(F.col("text")).alias("m")).select("stack", "at", "m.page", "m.of")
+    return verify.page_order(marked, ["stack"], "at", "page", "of")
+
+
+@query(
+    f"with r as (select vendor_name.value vendor, {S.shape('invoice_number.value')} s, regexp_extract(upper(invoice_number.value), '^[A-Z]+') p from extracted_invoices where invoice_number.value <> ''), g as (select vendor, s, count(*) n, min(p) lo, max(p) hi from r group by vendor, s)"
+    " select vendor, sum(n)::bigint as n, array_to_string(list(s order by n desc, s)[1:5], '|') as shapes, case when sum(n) >= 2 and min(lo) = max(hi) then nullif(min(lo), '') end as prefix from g group by vendor"
+)
+def learned_shapes(spark, d):
+    rows = _t(spark, d, "extracted_invoices").select(F.col("vendor_name.value").alias("vendor"), F.col("invoice_number.value").alias("number"))
+    return verify.learn_shapes(rows, "vendor", "number").withColumn("shapes", F.array_join("shapes", "|"))
+
+
+@query(
+    r"""with l as (select vendor, doc_id, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda s: regexp_replace(s, '^ +| +$', '', 'g')), lambda s: regexp_matches(s, '[A-Za-z]{3}'))[1:8] l from documents where text is not null and vendor is not null), t as (select vendor, count(*) t from l group by vendor),
+    e as (select vendor, line, count(*) n from (select distinct vendor, doc_id, unnest(l) line from l) group by vendor, line) select vendor, line, n from e join t using (vendor) where n * 2 >= t and t >= 2 qualify row_number() over (partition by vendor order by n desc, line) <= 3"""
+)
+def letterhead_lines(spark, d):
+    docs = _t(spark, d, "documents").where("vendor IS NOT NULL").select("vendor", "doc_id", "text")
+    return verify.letterheads(docs, "vendor", "doc_id", "text")
+
+
+@query(
+    r"""with f as (select doc_id, regexp_extract_all(text, '(?im)^[ \t]*(?:total due|amount due|balance to pay|balance due|grand total|total)[ \t]*:?[ \t]+([^\r\n]+)$', 1)[-1] t, regexp_extract_all(text, '(?im)^[ \t]*(?:purchase order|po number|your order|order no\.?)[ \t]*:?[ \t]+([^\r\n]+)$', 1)[1] po from (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents where doc_type = 'invoice' and text is not null)) select doc_id, cast("""
+    + S.money("t") + " as double) as total, po from f"
+)
+def fields_read(spark, d):
+    docs = _t(spark, d, "documents").where("doc_type = 'invoice' AND text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+    return verify.read_fields(docs).select("doc_id", F.col("total").cast("double").alias("total"), "po")

@@ -144,3 +144,22 @@ def test_ranks_without_gathering_a_group(spark):
     values = [("a", float(rng.choice([1, 2, 2, 2, 1000, rng.random()]))) for _ in range(301)] + [("b", 5.0), ("c", None)]
     r = {x.k: x for x in at_ranks(spark.createDataFrame(values, "k string, v double"), ["k"], "v", {"mid": F.floor(F.col("n") / 2)}, parts=7).collect()}
     assert r["a"].mid == sorted(v for k, v in values if k == "a")[150] and r["b"].mid == 5.0 and "c" not in r
+
+
+def test_verify(spark):
+    from ledgerloom.operators import verify
+
+    pages = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 2), (2, 1, 1, 2), (2, 2, 1, 2), (3, 1, 2, 3), (3, 2, 2, 3), (4, 1, 1, 2), (5, 1, None, None)], "g int, p int, at int, of int")
+    assert {tuple(r) for r in verify.page_order(pages, ["g"], "p", "at", "of").collect()} == {(2, "restart"), (3, "order"), (4, "count")}
+    numbers = spark.createDataFrame([("a", "INV-1"), ("a", "INV-22"), ("a", "INV-23"), ("b", "1"), ("b", None), ("c", "X1"), ("c", "Y1")], "k string, n string")
+    assert {(r.k, r.n, tuple(r.shapes), r.prefix) for r in verify.learn_shapes(numbers, "k", "n").collect()} == {("a", 3, ("A3 - D2", "A3 - D1"), "INV"), ("b", 1, ("D1",), None), ("c", 2, ("A1 D1",), None)}
+    heads = spark.createDataFrame([("a", 1, "ACME Ltd\n1\nx street"), ("a", 2, "ACME Ltd\nother"), ("b", 3, "Solo"), ("a", 4, None)], "k string, i int, t string")
+    assert [tuple(r) for r in verify.letterheads(heads, "k", "i", "t").orderBy("n", "line").collect()] == [("a", "other", 1), ("a", "x street", 1), ("a", "ACME Ltd", 2)]
+    df = spark.createDataFrame([(["7", "7"], [0.9, 0.5]), (["7", "8"], [0.9, 0.5]), ([None, ""], [0.1, 0.2])], "v array<string>, c array<double>")
+    assert [r[0] and tuple(r[0]) for r in df.select(verify.merge_readings(F.col("v"), F.col("c"))).collect()] == [("7", 0.5, True), (None, 0.5, False), None]
+    text = spark.createDataFrame([("Total: 5.00\nTotal due: $1,297.48\nPO number: A-1\nDate: 2026-01-02",), (None,), ("",)], "text string")
+    assert [(str(r.total), r.currency, r.po, r.issued) for r in verify.read_fields(text).collect()] == [("1297.48", "USD", "A-1", "2026-01-02"), ("None", None, None, None), ("None", None, None, None)]
+    near = spark.createDataFrame([("to ACNE Ltd",), ("nobody",), (None,)], "t string")
+    assert [r[0] for r in near.select(verify.nearly_includes(F.col("t"), "acme ltd", 1)).collect()] == [True, False, False]
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "", "c": "3"})], "v map<string,string>, c map<string,string>")
+    assert maps.select(verify.overlay(F.col("v"), F.col("c"))).first()[0] == {"a": "1", "c": "3"}
