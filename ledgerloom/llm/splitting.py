@@ -3,7 +3,8 @@
 A recursive hierarchy of separators - page, paragraph, line, sentence, word, character - cuts a text into units: a block that
 fits stays whole, a larger one is cut at the next finer separator. Units are packed greedily, in order, into pieces of at
 most ``limit`` tokens; each piece but the first starts with the last whole words of the piece before, as many as have at most
-``overlap`` tokens in all. Only a run without white space that alone is too long is cut between characters.
+``overlap`` tokens in all. Only a run without white space that alone is too long is cut inside: behind the last sentence end
+that fits, else behind other punctuation, and between characters where it has neither.
 
 Sizes are those of each piece encoded alone. Every character of the text lies in a piece: piece k + 1 starts where piece k
 ends, less the overlap. Defined results: null, empty and small texts give no rows; repeated rows are split each by itself; an
@@ -25,6 +26,9 @@ from ledgerloom.llm import tokens
 
 PAGE, PARAGRAPH, LINE, SENTENCE, WORD = range(5)
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\r*$").search
+#: Behind these a run without white space is cut where it is too long: ends of sentences, then any other punctuation.
+_INNER_SENTENCE = re.compile(r"(?:[!?…。！？｡]|\.(?![a-z0-9]))+[\"'”’»)\]」』）】]*")
+_INNER_MARK = re.compile(r"[^\w\s]+")
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x85\u2028\u2029]").findall
 
 
@@ -83,21 +87,37 @@ def _fitting(measure, most_chars: int, limit: int, per_char: float) -> tuple[int
     return (low, found) if low else (1, measure(1))
 
 
-def _characters(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size) -> Iterator[tuple[int, int, int]]:
-    """Cuts of a run without white space that has ``tokens_in`` tokens: (start, end, tokens) of pieces within the limit."""
+def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size) -> Iterator[tuple[int, int, int]]:
+    """Cuts of a run without white space that has ``tokens_in`` tokens: (start, end, tokens) of pieces within the limit, each
+    up to the last sentence end that fits, else the last other punctuation, else as many characters as fit."""
     per_char = max(0.01, tokens_in / (end - start))
-    at = start
+    marks = [[m.end() for m in p.finditer(text, start, end)] for p in (_INNER_SENTENCE, _INNER_MARK)]
+    at = done = start
     while True:
         chars, n = _fitting(lambda k: size(text[at : at + k]), end - at, limit, per_char)
         low = at + chars
+        if low < end:
+            low, n = _behind_mark(text, marks, at, done, low, n, limit, size)
         yield at, low, n
         if low >= end:
             return
         back = low
-        if overlap and chars > 1:
-            shared, n = _fitting(lambda k: size(text[low - k : low]), chars - 1, overlap, per_char)
+        if overlap and low - at > 1:
+            shared, n = _fitting(lambda k: size(text[low - k : low]), low - at - 1, overlap, per_char)
             back = low - shared if n <= overlap else low  # one character alone can be more
-        at = back
+        at, done = back, low
+
+
+def _behind_mark(text: str, marks: list[list[int]], at: int, done: int, low: int, n: int, limit: int, size) -> tuple[int, int]:
+    """The best cut after ``done`` of a piece from ``at`` that may reach to ``low`` with n tokens: (cut, tokens)."""
+    for places in marks:
+        for i in range(bisect_right(places, low) - 1, bisect_right(places, done) - 1, -1):
+            if places[i] == low:
+                return low, n
+            m = size(text[at : places[i]])
+            if m <= limit:  # a shorter text can have more tokens
+                return places[i], m
+    return low, n
 
 
 class Cut:
@@ -167,7 +187,7 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
     for a, b in units(strong, prefix, fits):
         if b - a == 1 and prefix[b] - prefix[a] > fits - 2 and n[a] + extra(a) > fits:
             close()
-            out += _characters(text, offset[a], offset[b], limit, overlap, n[a], whole)
+            out += _within(text, offset[a], offset[b], limit, overlap, n[a], whole)
             begin = end = fresh = b
             more = extra(b) if b < len(n) else 0
             continue
