@@ -3,8 +3,10 @@
 A recursive hierarchy of separators - page, paragraph, line, sentence, word, character - cuts a text into units: a block that
 fits stays whole, a larger one is cut at the next finer separator. Units are packed greedily, in order, into pieces of at
 most ``limit`` tokens; each piece but the first starts with the last whole words of the piece before, as many as have at most
-``overlap`` tokens in all. Only a run without white space that alone is too long is cut inside: behind the last sentence end
-that fits, else behind other punctuation, and between characters where it has neither.
+``overlap`` tokens in all. Only a run without white space that is too long beside its overlap is cut inside: behind the last
+sentence end that fits, else behind other punctuation, and between characters where it has neither. It begins with the words
+before it like any piece, its last cut is filled up with the text behind it, and where the piece before ends in a run or in a
+word of more than ``overlap`` tokens, the overlap is as many characters of it as fit.
 
 Sizes are those of each piece encoded alone. Every character of the text lies in a piece: piece k + 1 starts where piece k
 ends, less the overlap. Defined results: null, empty and small texts give no rows; repeated rows are split each by itself; an
@@ -87,25 +89,44 @@ def _fitting(measure, most_chars: int, limit: int, per_char: float) -> tuple[int
     return (low, found) if low else (1, measure(1))
 
 
-def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size) -> Iterator[tuple[int, int, int]]:
+def _tail(text: str, low: int, end: int, most: int, per_char: float, size) -> tuple[int, int]:
+    """Where the characters begin that end at ``end``, from ``low`` on, and have at most so many tokens, and their tokens."""
+    if most <= 0 or end <= low:
+        return end, 0
+    chars, n = _fitting(lambda k: size(text[end - k : end]), end - low, most, per_char)
+    return (end - chars, n) if n <= most else (end, 0)  # one character alone can be more
+
+
+def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size, seed: tuple[int, int] | None = None, later=None) -> Iterator[tuple[int, int, int]]:
     """Cuts of a run without white space that has ``tokens_in`` tokens: (start, end, tokens) of pieces within the limit, each
-    up to the last sentence end that fits, else the last other punctuation, else as many characters as fit."""
+    up to the last sentence end that fits, else the last other punctuation, else as many characters as fit. ``seed``: start
+    and tokens of the overlap before the run, with which the first piece begins; ``later``: tokens of a piece behind it."""
     per_char = max(0.01, tokens_in / (end - start))
     marks = [[m.end() for m in p.finditer(text, start, end)] for p in (_INNER_SENTENCE, _INNER_MARK)]
     at = done = start
+    if seed and seed[0] < start:
+        first = lambda k: seed[1] + later(text[start : start + k])
+        chars, n = _fitting(first, end - start, limit, per_char)
+        if n <= limit:
+            low = start + chars
+            if low < end:
+                low, n = _behind_mark(text, marks, start, done, low, n, limit, lambda t: seed[1] + later(t))
+            yield seed[0], low, n
+            if low >= end:
+                return
+            at, done = _tail(text, seed[0] + 1, low, overlap, per_char, size)[0], low
     while True:
         chars, n = _fitting(lambda k: size(text[at : at + k]), end - at, limit, per_char)
         low = at + chars
+        if low <= done and at < done:  # nothing new fits behind the overlap
+            at = done
+            continue
         if low < end:
             low, n = _behind_mark(text, marks, at, done, low, n, limit, size)
         yield at, low, n
         if low >= end:
             return
-        back = low
-        if overlap and low - at > 1:
-            shared, n = _fitting(lambda k: size(text[low - k : low]), low - at - 1, overlap, per_char)
-            back = low - shared if n <= overlap else low  # one character alone can be more
-        at, done = back, low
+        at, done = _tail(text, at + 1, low, overlap, per_char, size)[0], low
 
 
 def _behind_mark(text: str, marks: list[list[int]], at: int, done: int, low: int, n: int, limit: int, size) -> tuple[int, int]:
@@ -176,29 +197,44 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
         return sum(sizer(sizer.cut(s)))
 
     out: list[tuple[int, int, int]] = []
-    begin = end = fresh = 0  # the piece being filled: pieces [begin, end), of which [begin, fresh) are overlap
-    more = extra(0)
+    # the piece being filled: characters from ``start`` to where piece ``begin`` starts (part of the run before, if ``inner``),
+    # then pieces [begin, end); what lies before ``fresh`` is overlap, unless ``due``: then the part of the run is new, too
+    begin = end = fresh = start = 0
+    inner = due = False
+    more = extra(0)  # tokens of the part, or those more than in the text
     fits = limit - overlap - 1
+    per_char = max(0.01, prefix[-1] / len(text))
 
     def close() -> None:
-        if end > fresh:
-            out.append((offset[begin], offset[end], prefix[end] - prefix[begin] + more))
+        """Put the piece out, if it has anything new, and begin the next one with its overlap."""
+        nonlocal begin, fresh, start, inner, due, more
+        if end <= fresh and not due:
+            return
+        out.append((start, offset[end], prefix[end] - prefix[begin] + more))
+        s = end if not overlap else overlapping(begin - inner, end)
+        if inner and s == begin:
+            low = start + 1
+        else:
+            low, inner = (offset[s - 1] + 1 if s == end else offset[s]), False
+        # no whole word behind it, or all of them with tokens to spare: characters of the run before
+        at, n = _tail(text, low, offset[s], overlap - prefix[end] + prefix[s], per_char, whole)
+        inner = at < offset[s]
+        begin, fresh, start, due = s, end, at, False
+        more = n if inner else extra(s) if s < len(parts) else 0
 
     for a, b in units(strong, prefix, fits):
-        if b - a == 1 and prefix[b] - prefix[a] > fits - 2 and n[a] + extra(a) > fits:
+        if prefix[b] - prefix[begin] + more > limit:
             close()
-            out += _within(text, offset[a], offset[b], limit, overlap, n[a], whole)
+        if prefix[b] - prefix[begin] + more > limit and b - a == 1 and n[a] + extra(a) > fits:
+            seed = (start, prefix[a] - prefix[begin] + more) if start < offset[a] else None
+            *cuts, (start, _, more) = _within(text, offset[a], offset[b], limit, overlap, n[a], whole, seed, lambda t: sum(map(sizer.later, sizer.cut(t))))
+            out += cuts
             begin = end = fresh = b
-            more = extra(b) if b < len(n) else 0
+            inner = due = True
             continue
-        if prefix[b] - prefix[begin] + more > limit:
-            if end > fresh:
-                close()
-                begin, fresh = overlapping(begin, end), end
-                more = extra(begin)
-            while begin < a and prefix[b] - prefix[begin] + more > limit:
-                begin += 1
-                more = extra(begin)
+        while prefix[b] - prefix[begin] + more > limit and (inner or begin < a):
+            begin += not inner
+            inner, start, more = False, offset[begin], extra(begin)
         end = b
     close()
     return out
