@@ -2,10 +2,12 @@
 
 A record's signature has its number, in canonical form (separators, prefix, leading zeros off; letters that scans confuse
 with digits as digits), and the strings of its vendor: each stem, and the stems joined in either order. The index stores each
-vendor string cut into a fixed number of segments - one more than the edits allowed - under (number, string length, segment
-number, segment text). A string within that many edits shares a segment at nearly the same place, so a new record probes
-only the substrings that can match, of lengths that differ by no more than the edits. Candidates are verified: bounded edit
-distance of the stems, and trades that agree. Then the batch's own segments are appended.
+vendor string cut into a fixed number of segments under (number, string length, segment number, segment text). An edit, a swap
+of neighbours being one, can touch two segments, so there is one more than twice the edits that ``names.same`` allows in a
+string of that length. A string within those edits shares a segment at nearly the same place, so a new record probes only the
+substrings that can match, of lengths that differ by no more than the edits. Stems cut off by a full stop are found by pairs of
+their first letters. So the index finds all that the verifier accepts. Candidates are verified: bounded edit distance of the
+stems, and trades that agree. Then the batch's own segments are appended.
 
 Content that is the same (sha256) is found by equality. A record equal in number and vendor to one in the index adds nothing
 to it, so a hot invoice or vendor is one entry per spelling.
@@ -27,8 +29,10 @@ from ledgerloom.llm import names
 from ledgerloom.llm.components import connected_components
 from ledgerloom.runtime import materialise
 
-#: Edits allowed in one stem, and in stems written as one word.
-STEM_EDITS, JOINED_EDITS = 1, 2
+
+def slips(length: int) -> int:
+    """Edits that ``names.similar`` allows, if loose, where the shorter string has this length."""
+    return 0 if length < 4 else 1 if length < 6 else 2
 
 
 def cut(length: int, parts: int) -> list[tuple[int, int]]:
@@ -44,31 +48,42 @@ def cut(length: int, parts: int) -> list[tuple[int, int]]:
 
 def segments(s: str, edits: int) -> list[tuple[int, int, str]]:
     """(length, segment number, text) under which a string is stored."""
-    return [(len(s), i, s[p : p + n]) for i, (p, n) in enumerate(cut(len(s), edits + 1))]
+    return [(len(s), i, s[p : p + n]) for i, (p, n) in enumerate(cut(len(s), 2 * edits + 1))]
 
 
-def probes(s: str, edits: int) -> set[tuple[int, int, str]]:
-    """Every (length, segment number, text) under which a string within ``edits`` of ``s`` can be stored and found."""
-    out = set()
-    for length in range(max(1, len(s) - edits), len(s) + edits + 1):
-        delta = len(s) - length
-        for i, (p, n) in enumerate(cut(length, edits + 1)):
-            # edits before the segment shift it by at most i, those behind it leave at most edits - i
-            low = max(0, p - i, p + delta - (edits - i))
-            high = min(len(s) - n, p + i, p + delta + (edits - i))
-            for at in range(low, high + 1):
-                out.add((length, i, s[at : at + n]))
-    return out
+def _windows(s: str, length: int, edits: int) -> set[tuple[int, int, str]]:
+    """What ``s`` probes of stored strings of one length: its length tells how many of the edits can shift a segment."""
+    more, fewer = (edits + len(s) - length) // 2, (edits - len(s) + length) // 2
+    return {(length, i, s[at : at + n]) for i, (p, n) in enumerate(cut(length, 2 * edits + 1)) for at in range(max(0, p - fewer), min(len(s) - n, p + more) + 1)}
 
 
-def strings_of(form: names.Form) -> list[tuple[str, int]]:
-    """The vendor strings that are indexed, with the edits allowed in each."""
-    stems = form[2] if form[0] == "firm" else (form[2][0],)
-    out = [(s, STEM_EDITS if len(s) > 3 else 0) for s in stems]
-    if len(stems) == 2:
-        out += [(stems[0] + stems[1], JOINED_EDITS), (stems[1] + stems[0], JOINED_EDITS)]
-    elif len(stems) == 1 and len(stems[0]) >= 10:
-        out.append((stems[0], JOINED_EDITS))
+def probes(s: str, edits: int) -> set[tuple[int, int, str]]:
+    """Every (length, segment number, text) under which a string within ``edits`` of ``s`` can be stored and found."""
+    return set().union(*(_windows(s, length, edits) for length in range(max(1, len(s) - edits), len(s) + edits + 1)))
+
+
+def _beginnings(s: str) -> list[str]:
+    """Of these at least one stays the same when a substitution or swap changes a beginning of 4 letters or more."""
+    return [f"0{s[:2]}", f"1{s[2:4]}", f"2{s[0]}{s[3]}"] if len(s) > 3 else [f"0{s[:2]}"] if len(s) == 3 else []
+
+
+def index_keys(form: names.Form, stored: bool) -> set[str]:
+    """Keys under which a vendor is stored or, if not ``stored``, those it probes: two vendors that are ``names.same``, if
+    loose, have one in common."""
+    stems, cut_off = form[2], form[3]
+    found: set[tuple[int, int, str]] = set()
+    for s in {*(stems if len(stems) < 3 else ()), "".join(stems), "".join(reversed(stems))}:
+        if stored:
+            found.update(segments(s, slips(len(s))))
+        else:
+            for length in range(max(1, len(s) - 2), len(s) + 3):
+                if abs(length - len(s)) <= slips(min(length, len(s))):
+                    found |= _windows(s, length, slips(length))
+    out = {f"{n}|{k}|{t}" for n, k, t in found}
+    for s, short in zip(stems, cut_off, strict=True) if len(stems) < 3 else ():
+        # C: of stems cut off, probed by all; W: of all stems, probed by those cut off
+        tags = ("C", "W") if short else ("W",) if stored else ("C",)
+        out.update(f"{tag}|{b}" for tag in tags for b in _beginnings(s))
     return out
 
 
@@ -80,12 +95,11 @@ def _segment(stored: bool):
                 form = names.parse(vendor)
                 if not form:
                     continue
-                found = {f"{n}|{k}|{e}|{t}" for s, e in strings_of(form) for n, k, t in (segments(s, e) if stored else probes(s, e))}
                 ids.append(i)
                 numbers.append(number)
                 vendors.append(vendor)
                 forms.append(names.encode_form(form))
-                seg.append(sorted(found))
+                seg.append(sorted(index_keys(form, stored)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.string()), pa.array(vendors, pa.string()), pa.array(forms, pa.string()), pa.array(seg, pa.list_(pa.string()))], names=["node", "number", "vendor", "form", "segments"])
 
     return run
