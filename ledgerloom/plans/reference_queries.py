@@ -107,9 +107,11 @@ def value_shapes(spark, d):
 
 @query(f"select invoice_id, regexp_matches(shape, '^A([1-9]|[0-9]{{2}}) . D') as fits from (select invoice_id, {S.shape('invoice_number.value')} as shape from extracted_invoices) where false")
 def shape_fits(spark, d):
-    """Numbers whose shape fits the most frequent shape of their tables: an operator on pairs of value and shape."""
+    """Numbers whose shape fits the most frequent shape of all rows, the first in order among equals; the SQL has 'A3 . D8'."""
     rows = _t(spark, d, "extracted_invoices").select("invoice_id", F.col("invoice_number.value").alias("v")).where("v IS NOT NULL")
-    return rows.select("invoice_id", shapes.fits_shape(F.col("v"), F.lit("A3 . D8")).alias("fits"))
+    counts = rows.groupBy(shapes.value_shape(F.col("v")).alias("shape")).agg(F.count("*").alias("n")).where("shape <> ''")
+    leading = counts.groupBy().agg(F.min_by("shape", F.struct(-F.col("n"), F.col("shape"))).alias("shape"))
+    return rows.crossJoin(F.broadcast(leading)).select("invoice_id", shapes.fits_shape(F.col("v"), F.col("shape")).alias("fits"))
 
 
 ORACLES["shape_fits"] = (
