@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import history as H
 from ledgerloom.runtime import shared_dir
@@ -62,21 +64,57 @@ def data():
     return [(i, 1 + i // 25, rng.choice([None, *(f"h{k}" for k in range(60)), *(f"u{i}" for _ in range(60))]), rng.choice(["", "1", "1", "77", "88", "99"]), rng.choice(vendors)) for i in range(1, 151)]
 
 
-def test_one_pass_equals_brute_force(spark):
+def in_turn(rows):
+    """What each batch is told when it comes."""
+    out = set()
+    for b in sorted({r[1] for r in rows}):
+        own = {r[0] for r in rows if r[1] == b}
+        out |= {x for x in brute([r for r in rows if r[1] <= b]) if x[1] in own}
+    return out
+
+
+def test_every_batch_equals_brute_force(spark):
     rows = data()
-    assert {tuple(r) for r in H.repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+    assert {tuple(r) for r in H.repeats(spark.createDataFrame(rows, SCHEMA), steps=99).collect()} == in_turn(rows)
     assert H.repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_batches_in_turn(spark):
-    """Each batch against the stored index: repeats are found without reading earlier rows again."""
-    rows = [r for r in data() if r[1] <= 3]
-    index = H.SegmentIndex(spark, f"{shared_dir(spark)}/index-test-{random.random()}")
-    for b in (1, 2, 3):
-        got = {tuple(r) for r in index.accept_batch(spark.createDataFrame([r for r in rows if r[1] == b], SCHEMA)).collect()}
-        known = [r for r in rows if r[1] <= b]
-        assert got == {x for x in brute(known) if x[1] in {r[0] for r in rows if r[1] == b}}
-    assert index.accept_batch(spark.createDataFrame([], SCHEMA)).count() == 0
+def test_steps_take_whole_batches(spark):
+    rows = [r for r in data() if r[1] <= 4]
+    two = [(r[0], 1 + (r[1] == 4), *r[2:]) for r in rows]  # 24, 25, 25, 25 rows: half of them are there after the third
+    assert {tuple(r) for r in H.repeats(spark.createDataFrame(rows, SCHEMA), steps=2).collect()} == in_turn(two)
+
+
+def test_a_batch_reads_only_its_buckets_and_counts_once(spark):
+    folder = f"{shared_dir(spark)}/index-test-{random.random()}"
+    rows = [(i, 1, f"h{i}", str(i), "Nelovter Kelosford Vervoer B.V.") for i in range(1, 400)]
+    index = H.SegmentIndex(spark, folder, buckets=64)
+    assert index.accept_batch(spark.createDataFrame(rows, SCHEMA), "a").count() == 0
+    one = [(500, 2, "h7", "9", "Nelovter Kelosfrod Vervoer")]
+    number, sha = spark.range(1).select(index.bucket(F.lit("9")), index.bucket(F.lit("h7"))).first()
+    assert len(index.files("entries")) == 64 and len(index.files("entries", [number])) == 1 and len(index.files("content", [sha])) == 1
+    assert len(index.table("entries", [number]).inputFiles()) == 1
+    assert [tuple(r) for r in index.accept_batch(spark.createDataFrame(one, SCHEMA), "b").collect()] == [(7, 500)]
+    # two classes are one now, and a batch given again, also to a new reader, is answered from what is stored
+    again = H.SegmentIndex(spark, folder)
+    assert again.state == index.state and [tuple(r) for r in again.accept_batch(spark.createDataFrame(one, SCHEMA), "b").collect()] == [(7, 500)]
+    assert [tuple(r) for r in again.accept_batch(spark.createDataFrame([(501, 3, "x", "9", "Nelovter Kelosford Vervoer BV")], SCHEMA), "c").collect()] == [(7, 501)]
+    before = again.table("entries").count()
+    again.compact()
+    assert again.table("entries").count() == before and len(again.state["parts"]) == 1
+    assert [tuple(r) for r in again.accept_batch(spark.createDataFrame([(502, 4, "h400", "9", "Nelovter Kelosford Vervoer BV")], SCHEMA), "d").collect()] == [(7, 502)]
+
+
+def test_a_broken_batch_leaves_nothing(spark):
+    folder = f"{shared_dir(spark)}/index-test-{random.random()}"
+    index = H.SegmentIndex(spark, folder, buckets=4)
+    index._commit = None  # the writer dies before it commits
+    batch = spark.createDataFrame([(1, 1, "a", "7", "Thomas Veledic")], SCHEMA)
+    with pytest.raises(TypeError):
+        index.accept_batch(batch, "a")
+    index = H.SegmentIndex(spark, folder, buckets=4)
+    assert index.table("content").count() == 0 and index.accept_batch(batch, "a").count() == 0
+    assert index.table("content").count() == 1
 
 
 def slipped(rng, word):
