@@ -1,7 +1,8 @@
 """Rows that fail to parse: delimited records split into loaded rows and rejected rows with the reason.
 
-Records are assembled quote-aware from physical lines where needed (``assemble_records``), each is read by Python's strict
-csv reader inside a partition-wise Arrow batch function, and structural exceptions are kept before any typed field is built.
+Each record goes through Python's strict csv reader inside a partition-wise Arrow batch function. The reader is given the
+record's physical lines and assembles them while a quote is open; its exceptions are the reason ``quoting``, kept before any
+typed field is built. Where a file was cut at every line break, ``assemble_records`` makes records of its lines first.
 
 Defined results: null and blank lines are no records; an empty table gives an empty table; a file without a header row, or
 with a header that lacks a column, gives ``column_count`` for each of its records, as no field can be placed; extra columns
@@ -35,34 +36,45 @@ _ARROW = pa.schema(
 )
 
 
-@lru_cache(64)
-def _record(delimiter: str) -> re.Pattern:
-    field = rf'(?:"(?:[^"]|"")*"|[^"{re.escape(delimiter)}]*)'
-    return re.compile(rf"{field}(?:{re.escape(delimiter)}{field})*", re.S)
+#: Physical lines with the break that ends each.
+_LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+").findall
 
 
 @lru_cache(64)
-def _fields(delimiter: str) -> re.Pattern:
-    return re.compile(rf'("(?:[^"]|"")*"|[^"{re.escape(delimiter)}]*){re.escape(delimiter)}', re.S)
+def _quoted(delimiter: str) -> re.Pattern:
+    at = re.escape(delimiter)
+    return re.compile(rf'(?:\A|(?<={at}))"(?:[^"]|"")*"(?={at}|\Z)')
 
 
-def split_record(line: str, delimiter: str) -> list[str] | None:
-    """The fields of one record, or None when its quote marks are broken.
+def read_record(record: str, delimiter: str) -> list[str]:
+    """The fields of one record; csv.Error when its quote marks are broken.
 
-    csv's strict reader finds unclosed quotes and text behind a closing quote; it lets a quote mark inside an unquoted field
-    pass, which the pattern of a whole record doesn't. A bare line break in an unquoted field is text.
+    csv's strict reader is given the record's physical lines and assembles them while a quote is open. It raises for a quoted
+    field that isn't closed, or not directly before a delimiter or the end. A bare line break in an unquoted field is text. The
+    one case the reader lets pass, a quote mark inside an unquoted field, is a mark that is left without the quoted fields.
     """
-    if '"' not in line:
-        return line.split(delimiter)
-    if not _record(delimiter).fullmatch(line):
-        return None
-    try:
-        rows = list(csv.reader([line], delimiter=delimiter, strict=True))
-        if len(rows) == 1:
-            return rows[0]
-    except csv.Error:
-        pass
-    return [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in _fields(delimiter).findall(line + delimiter)]
+    ended = bare = ""  # the break behind the last line taken, and behind the last row
+
+    def physical():
+        nonlocal ended
+        for line in _LINES(record) or [""]:
+            text = line.rstrip("\r\n")
+            ended = line[len(text) :]
+            yield line
+
+    fields: list[str] | None = None
+    for row in csv.reader(physical(), delimiter=delimiter, strict=True):
+        row = row or [""]
+        fields = row if fields is None else [*fields[:-1], fields[-1] + bare + row[0], *row[1:]]
+        bare = ended
+    fields[-1] += bare
+    if '"' in record and '"' in _quoted(delimiter).sub("", record):
+        raise StrayQuote("a quote mark inside an unquoted field")
+    return fields
+
+
+class StrayQuote(csv.Error):
+    """A quote mark inside an unquoted field."""
 
 
 _DATE = {
@@ -109,6 +121,15 @@ def typed_amount(text: str, mark: str):
     return -value if minus or opened else value
 
 
+def _positions(delimiter: str, header: str) -> list[int] | None:
+    """Where a file's header has each of the seven columns; None when it isn't made of just these."""
+    try:
+        names = [n.strip() for n in read_record(header.strip("\r\n\ufeff"), delimiter)]
+    except csv.Error:
+        return None
+    return [names.index(c) for c in COLUMNS] if set(COLUMNS) <= set(names) and len(names) == 7 else None
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(2**31 - 1)
     headers: dict[tuple[str, str], list[int] | None] = {}
@@ -119,11 +140,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reasons, fields, day, money = [], [None] * 7, None, None
             line = line[:-1] if line.endswith("\n") else line
             line = line[:-1] if line.endswith("\r") else line
-            parts = split_record(line, delimiter or ",")
             at = (delimiter or ",", header or "")
             if at not in headers:
-                names = [n.strip() for n in split_record(at[1].strip("\r\n\ufeff"), at[0]) or []]
-                headers[at] = [names.index(c) for c in COLUMNS] if set(COLUMNS) <= set(names) and len(names) == 7 else None
+                headers[at] = _positions(*at)
+            try:
+                parts = read_record(line, at[0])
+            except csv.Error:
+                parts = None
             if parts is None:
                 reasons.append("quoting")
             elif len(parts) != 7 or headers[at] is None:

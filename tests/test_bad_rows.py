@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 from decimal import Decimal as D
 
@@ -8,9 +9,43 @@ from ledgerloom.operators import bad_rows as B
 HEAD = "Invoice No,Supplier,Customer,Invoice Date,PO Number,Amount,Status"
 
 
-@pytest.mark.parametrize(("line", "fields"), [("a,b", ["a", "b"]), ('a,"b,""c"""', ["a", 'b,"c"']), ('"x\ny",z', ["x\ny", "z"]), ('a,b"c"', None), ('"a"b,c', None), ('"a,b', None), ('a\rb,"c"', ["a\rb", "c"]), ("", [""]), ('"",', ["", ""])])
-def test_split_record(line, fields):
-    assert B.split_record(line, ",") == fields
+@pytest.mark.parametrize(
+    ("line", "fields"),
+    [
+        ("a,b", ["a", "b"]), ('a,"b,""c"""', ["a", 'b,"c"']), ('"x\ny",z', ["x\ny", "z"]), ('"x\r\n\ny",z', ["x\r\n\ny", "z"]), ('a\rb,"c"', ["a\rb", "c"]), ("a\n\nb,c", ["a\n\nb", "c"]),
+        ("", [""]), ('"",', ["", ""]), ('"a""",b', ['a"', "b"]), ("a\n", ["a\n"]), ('"a,b",c', ["a,b", "c"]), ("a\x00b,c", ["a\x00b", "c"]),
+    ],
+)
+def test_read_record(line, fields):
+    assert B.read_record(line, ",") == fields
+
+
+@pytest.mark.parametrize(
+    ("line", "stray"),
+    [('a,b"c"', True), ('"a"b,c', False), ('"a,b', False), ('a,"b""', False), ('"a" ,b', False), ('a, "b"', True), ('a"b,"c"', True), ('"a"\nb,c', True), ('"a""b,c', False), ('a,"b\nc', False)],
+)
+def test_broken_quotes(line, stray):
+    """The reader's own exceptions, and the one case that is left to the pattern."""
+    with pytest.raises(csv.Error) as e:
+        B.read_record(line, ",")
+    assert (e.type is B.StrayQuote) == stray
+
+
+def test_reasons_come_from_the_reader(small):
+    """Of the quoting reasons of a feed, most are csv's own exceptions."""
+    import pyarrow.parquet as pq
+
+    delimiter = {r["file_id"]: r["delimiter"] for r in pq.read_table(f"{small}/register_files.parquet").to_pylist()}
+    raised = {"reader": 0, "pattern": 0}
+    for r in pq.read_table(f"{small}/register_lines.parquet").to_pylist():
+        if r["line"] and r["line_no"] > 1:
+            try:
+                B.read_record(r["line"].rstrip("\r\n"), delimiter[r["file_id"]])
+            except B.StrayQuote:
+                raised["pattern"] += 1
+            except csv.Error:
+                raised["reader"] += 1
+    assert raised["reader"] > 0, raised
 
 
 @pytest.mark.parametrize(("text", "value"), [("1,234.5", "1234.5"), ("1 234", "1234"), ("1'234'567.89", "1234567.89"), ("-€5", "-5"), ("€-5", "-5"), ("(5.00) EUR", "-5.00"), ("USD (5)", "-5"), ("5-", "-5"), (" 7 ", "7"), ("5.", None), (".5", None), ("1,23", None), ("--5", None), ("(-5)", None), ("5 EUR USD", None), ("", None), ("1.234,5", None), ("12 345", "12345"), ("5.123", None), ("((5))", None)])
