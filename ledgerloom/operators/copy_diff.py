@@ -6,8 +6,10 @@ the hashes of the differing rows as roots. m starts small and is doubled, for th
 interpolation agree. Each side then tests its own rows as roots, a checksum per bucket confirms the outcome (a bucket that
 fails it, by a collision of hashes, is fetched whole), and only rows found are fetched and compared field by field.
 
-Traffic is proportional to buckets plus differences, never to a cross product; a hot key collapses in the partial
-aggregation that keeps the smallest id of each key.
+Rows are shuffled once by key (a hot key collapses in the partial aggregation that keeps the smallest id of each key), and
+buckets are parts of the partitions this makes, so a bucket's values are made where its rows lie; after that only values of
+buckets travel, and rows meet the polynomials of their bucket once. A bucket that is empty on one side needs no polynomial,
+and one of which nearly all rows differ is fetched whole once the bound would reach its number of rows.
 
 Defined results: rows whose key is empty (null, blank, only separators) are left out; repeated rows count once, by their
 smallest id; an empty side makes every row of the other one ``only``; null and blank orders are the same; an amount that is
@@ -28,8 +30,10 @@ from ledgerloom.runtime import materialise
 P = 2**31 - 1
 #: Hashes stay below P - POINTS; the points of evaluation lie above, so no point is a root.
 POINTS = 2**12
+#: Small buckets keep the cubic cost of a bucket's equations low where many rows differ; 18 values stand for 32 rows.
 ROWS_PER_BUCKET, FIRST_BOUND, EXTRA = 32, 16, 2
-BUCKETS_PER_TASK = 4096
+#: Rows a task evaluates at a time, values of polynomials a task solves, and numbers in the equations it holds at a time.
+ROWS_AT_ONCE, VALUES_PER_TASK, EQUATIONS_AT_ONCE = 500_000, 2**16, 2**21
 
 
 def keyed(df: DataFrame, row_id: Column, key: Column, cents: Column, order: Column, blank: str) -> DataFrame:
@@ -38,11 +42,13 @@ def keyed(df: DataFrame, row_id: Column, key: Column, cents: Column, order: Colu
     return rows.where("key <> ''").groupBy("key").agg(F.min("row").alias("row")).select("key", "row.*")
 
 
-def _hashed(df: DataFrame, side: int, buckets: int) -> DataFrame:
+def _hashed(df: DataFrame, side: int, parts: int) -> DataFrame:
+    """A keyed side with its hashes; ``part`` is the partition that a shuffle by key puts a row in."""
     content = [F.col("key"), F.coalesce(F.col("cents").cast("string"), F.col("blank")), F.col("order")]
     return df.select(
         F.lit(side).alias("side"),
-        F.pmod(F.xxhash64(F.lit("bucket"), "key"), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.hash("key"), F.lit(parts)).cast("long").alias("part"),
+        F.xxhash64(F.lit("bucket"), "key").alias("place"),
         F.pmod(F.xxhash64(*content), F.lit(P - POINTS)).alias("h"),
         F.pmod(F.xxhash64(F.lit("check"), *content), F.lit(2**40)).alias("g"),
         "key",
@@ -65,18 +71,28 @@ def inverse(x: np.ndarray) -> np.ndarray:
 def _evaluate(points: np.ndarray):
     """Partial values of both sides' polynomials for the buckets of a partition."""
 
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf["bucket"].to_numpy() * 2 + pdf["side"].to_numpy()
+        order = np.argsort(group, kind="stable")
+        group, h, g = group[order], pdf["h"].to_numpy().astype(np.uint64)[order], pdf["g"].to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, int)
+        sizes = np.diff(np.r_[starts, len(group)])
+        v = np.ones((len(starts), len(points)), np.uint64)
+        for r in range(int(sizes.max(initial=0))):
+            live = np.flatnonzero(sizes > r)
+            v[live] = v[live] * ((points[None, :] + np.uint64(P) - h[starts[live] + r][:, None]) % P) % P
+        return pd.DataFrame({"bucket": group[starts] // 2, "side": (group[starts] % 2).astype(np.int32), "n": sizes, "g": np.add.reduceat(g, starts) if len(starts) else g[:0], "v": list(v.astype(np.int64))})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for pdf in batches:
-            group = pdf["bucket"].to_numpy() * 2 + pdf["side"].to_numpy()
-            order = np.argsort(group, kind="stable")
-            group, h, g = group[order], pdf["h"].to_numpy().astype(np.uint64)[order], pdf["g"].to_numpy()[order]
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, int)
-            sizes = np.diff(np.r_[starts, len(group)])
-            values = np.ones((len(starts), len(points)), np.uint64)
-            for r in range(int(sizes.max(initial=0))):
-                live = np.flatnonzero(sizes > r)
-                values[live] = values[live] * ((points[None, :] + np.uint64(P) - h[starts[live] + r][:, None]) % P) % P
-            yield pd.DataFrame({"bucket": group[starts] // 2, "side": (group[starts] % 2).astype(np.int32), "n": sizes, "g": np.add.reduceat(g, starts) if len(starts) else g[:0], "v": list(values.astype(np.int64))})
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= ROWS_AT_ONCE:
+                yield values(pd.concat(held, ignore_index=True))
+                held, rows = [], 0
+        if held:
+            yield values(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -130,7 +146,8 @@ def interpolate(points: np.ndarray, ratio: np.ndarray, delta: int, bound: int) -
 
 
 def _solve(points: np.ndarray, bound: int):
-    """Polynomials of each bucket of a partition (bounded: BUCKETS_PER_TASK buckets of 2 * m values)."""
+    """Polynomials of each bucket of a partition (bounded: about VALUES_PER_TASK values). ``whole``: one side is
+    empty, or the next bound would be as large as the bucket, so that fetching its rows costs no more than more values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -148,10 +165,25 @@ def _solve(points: np.ndarray, bound: int):
             s = turn == t
             values[side[s], at[s]] = values[side[s], at[s]] * v[s] % P
         ratio = values[0] * inverse(values[1]) % P
-        for delta in np.unique(n[0] - n[1]):
-            own = np.flatnonzero(n[0] - n[1] == delta)
-            num, den, ok = interpolate(points, ratio[own], int(delta), bound)
-            yield pd.DataFrame({"bucket": buckets[own], "solved": ok, "dn": n[0][own] - n[1][own], "dg": g[0][own] - g[1][own], "num": list(num.astype(np.int64)), "den": list(den.astype(np.int64))})
+        dn, dg, empty = n[0] - n[1], g[0] - g[1], (n == 0).any(0)
+        alike = ~empty & (dn == 0) & (dg == 0) & (ratio == 1).all(1)
+
+        most = n.sum(0)
+
+        def frame(own: np.ndarray, ok: np.ndarray, num: np.ndarray, den: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"bucket": buckets[own], "solved": ok, "whole": ~ok & (empty[own] | (2 * bound >= most[own])), "dn": dn[own], "dg": dg[own], "num": list(num.astype(np.int64)), "den": list(den.astype(np.int64))})
+
+        for own in (np.flatnonzero(alike), np.flatnonzero(empty)):
+            one = np.ones((len(own), 1), np.int64)
+            if len(own):
+                yield frame(own, alike[own], one, one)
+        step = max(1, EQUATIONS_AT_ONCE // bound**2)
+        for delta in np.unique(dn[~alike & ~empty]):
+            same = np.flatnonzero(~alike & ~empty & (dn == delta))
+            for at in range(0, len(same), step):
+                own = same[at : at + step]
+                num, den, ok = interpolate(points, ratio[own], int(delta), bound)
+                yield frame(own, ok, num, den)
 
     return run
 
@@ -161,22 +193,25 @@ def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Rows that both sides hold alike can come along (a common factor of the polynomials, a collision); comparing drops them.
     """
-    sides = [materialise(x, "side") for x in (left, right)]
-    most = max(x.count() for x in sides)
-    buckets = max(1, most // ROWS_PER_BUCKET)
-    tasks = -(-buckets // BUCKETS_PER_TASK)
     spark = left.sparkSession
-    tasks = max(tasks, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 256)))
-    rows = materialise(_hashed(sides[0], 0, buckets).unionByName(_hashed(sides[1], 1, buckets)).repartition(tasks, "bucket"), "rows")
-    rest, bound, solved = rows, FIRST_BOUND, None
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sides = [materialise(_hashed(x, i, parts), "side") for i, x in enumerate((left, right))]
+    most = max(x.count() for x in sides)
+    per_part = max(1, most // (ROWS_PER_BUCKET * parts))
+    bucket = F.col("part") + F.lit(parts).cast("long") * F.pmod("place", F.lit(per_part).cast("long"))
+    rows = sides[0].unionByName(sides[1]).withColumn("bucket", bucket).drop("part", "place")
+    rest, bound, solved, whole, left_in = rows, FIRST_BOUND, None, None, parts * per_part
     while True:
         points = np.arange(P - 1, P - 1 - bound - EXTRA, -1).astype(np.uint64)
         values = rest.select("bucket", "side", "h", "g").mapInPandas(_evaluate(points), "bucket long, side int, n long, g long, v array<long>")
-        polys = materialise(values.repartition(tasks, "bucket").mapInPandas(_solve(points, bound), "bucket long, solved boolean, dn long, dg long, num array<long>, den array<long>"), "polys")
-        good = polys.where("solved")
-        solved = good if solved is None else solved.unionByName(good)
-        left_over = polys.where("NOT solved").select("bucket")
-        if left_over.isEmpty() or 2 * bound + EXTRA > POINTS:
+        tasks = max(-(-left_in * bound // VALUES_PER_TASK), min(parts, -(-left_in // 256)), 1)
+        polys = values.repartition(tasks, "bucket").mapInPandas(_solve(points, bound), "bucket long, solved boolean, whole boolean, dn long, dg long, num array<long>, den array<long>")
+        polys = materialise(polys, "polys")
+        good, bare = polys.where("solved"), polys.where("whole").select("bucket")
+        solved, whole = (good, bare) if solved is None else (solved.unionByName(good), whole.unionByName(bare))
+        left_over = polys.where("NOT solved AND NOT whole").select("bucket")
+        left_in = left_over.count()
+        if not left_in or 2 * bound + EXTRA > POINTS:
             break
         rest, bound = rows.join(left_over, "bucket", "left_semi"), 2 * bound
     horner = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, k: F.pmod(acc * F.col("h") + k, F.lit(P).cast("long")))
@@ -184,9 +219,10 @@ def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     found = materialise(rows.join(solved.where("size(num) + size(den) > 2"), "bucket").where(horner(coefficients) == 0).select("side", "bucket", "g", "key", "id", "cents", "order"), "found")
     sign = F.when(F.col("side") == 0, 1).otherwise(-1)
     sums = found.groupBy("bucket").agg(F.sum(sign).alias("fn"), F.sum(sign * F.col("g")).alias("fg"))
-    failed = solved.join(sums, "bucket", "left").where("coalesce(fn, 0) <> dn OR coalesce(fg, 0) <> dg").select("bucket").unionByName(left_over)
-    whole = rows.join(failed, "bucket", "left_semi").select(*found.columns)
-    return found.join(failed, "bucket", "left_anti").select(*found.columns).unionByName(whole)
+    failed = solved.join(sums, "bucket", "left").where("coalesce(fn, 0) <> dn OR coalesce(fg, 0) <> dg").select("bucket")
+    fetched = materialise(failed.unionByName(left_over).unionByName(whole), "fetched")
+    entire = rows.join(fetched, "bucket", "left_semi").select(*found.columns)
+    return found.join(fetched, "bucket", "left_anti").select(*found.columns).unionByName(entire)
 
 
 def compare(found: DataFrame) -> DataFrame:

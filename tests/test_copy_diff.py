@@ -49,6 +49,30 @@ def test_one_side_empty_and_equal_sides(spark):
     assert C.diff(none, none).count() == 0
 
 
+def test_every_row_differs_and_a_large_side_stands_alone(spark):
+    """Copies that have nothing in common: all amounts differ, and 10^6 rows have no other side."""
+    left = spark.range(20_000).select("id", F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("cents"), F.lit("").alias("order"), F.lit("a").alias("blank"))
+    other = left.withColumn("cents", F.col("id") + 1).withColumn("blank", F.lit("b"))
+    assert [tuple(r) for r in C.diff(left, other).groupBy("difference").count().collect()] == [("amount", 20_000)]
+    many = spark.range(1_000_000).select("id", F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("cents"), F.lit("").alias("order"), F.lit("a").alias("blank"))
+    assert [tuple(r) for r in C.diff(many, other.limit(0)).groupBy("difference").count().collect()] == [("only_left", 1_000_000)]
+
+
+def test_memory_of_the_equations_is_bounded():
+    """Many buckets of one size difference are solved in slices."""
+    import tracemalloc
+
+    import pandas as pd
+
+    points = np.arange(C.P - 1, C.P - 1 - 66, -1).astype(np.uint64)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"bucket": np.repeat(np.arange(2000), 2), "side": np.tile([0, 1], 2000), "n": 200, "g": 1, "v": [*rng.integers(1, C.P, (4000, 66))]})
+    tracemalloc.start()
+    out = pd.concat(C._solve(points, 64)(iter([pdf])))
+    assert len(out) == 2000 and not out["solved"].any() and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_interpolation_recovers_roots():
     rng = np.random.default_rng(1)
     common, a, b = rng.integers(0, 2**30, 30), rng.integers(0, 2**30, 5), rng.integers(0, 2**30, 3)
