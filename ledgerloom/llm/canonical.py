@@ -2,8 +2,9 @@
 
 Leaves are normalised (letters and digits only, one case; null is blank), each child of a node is digested with its name, the
 children's digests of an unordered node (struct, map, JSON object) are sorted, those of an ordered one (array) are not, and
-the digest of that list is the node's. Records are grouped by root digest together with their whole canonical text, which is
-the structural comparison: a collision of digests can't join two records.
+the digest of that list is the node's. Records are built once and grouped by root digest (16 bytes); only those whose digest
+occurs more than once are compared by their whole canonical text, which is the structural comparison: a collision of digests
+can't join two records.
 
 Groups are counted with map-side partial aggregation; rows find their group by a join whose hot keys (at most 1 / HOT_SHARE
 of them) are salted over SALTS tasks. Defined results: null and blank are equal; records of which nothing is left but blanks
@@ -57,11 +58,15 @@ def _normal_text(s: str) -> str:
     return _OTHER.sub("", s.upper().lower())
 
 
+class Members(list):
+    """The members of a JSON object as written, also those that share a name."""
+
+
 def merkle_json(value) -> tuple[str, str]:
     """(digest, canonical text) of a parsed JSON value; numbers are the text they were written in."""
-    if isinstance(value, dict):
+    if isinstance(value, (dict, Members)):
         parts = []
-        for k, v in value.items():
+        for k, v in value.items() if isinstance(value, dict) else value:
             name, (digest, text) = _normal_text(k), merkle_json(v)
             parts.append((hashlib.md5(f"{name}{_SEP}{digest}".encode()).hexdigest(), f"{name}{_SEP}{text}"))
         parts.sort()
@@ -74,14 +79,14 @@ def merkle_json(value) -> tuple[str, str]:
 
 
 def records_of_json(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, canon) of raw JSON records, nested to any depth; objects with a name twice keep the last."""
+    """(id, digest, canon) of raw JSON records, nested to any depth; a name that an object has twice counts twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, canons = [], []
             for s in batch.column(1).to_pylist():
                 try:
-                    value = json.loads(s, parse_float=str, parse_int=str) if s else ""
+                    value = json.loads(s, parse_float=str, parse_int=str, object_pairs_hook=Members) if s else ""
                 except (ValueError, RecursionError):
                     value = s
                 d, t = merkle_json(value)
@@ -99,17 +104,45 @@ def records_of_columns(df: DataFrame, key: str, fields: list[Column]) -> DataFra
     return row.select("id", digest.alias("digest"), canon.alias("canon"))
 
 
-def groups(records: DataFrame) -> DataFrame:
-    """One row per distinct record: (source_table, digest, canon, first_id, n)."""
-    return records.groupBy("source_table", "digest", "canon").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+def _digested(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records, built once and written with a digest of 16 bytes; and (source_table, digest, first_id, n) of each digest."""
+    built = materialise(records.select("source_table", "id", F.unhex("digest").alias("digest"), "canon"), "records")
+    return built, built.groupBy("source_table", "digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
 
 
-def copies(records: DataFrame) -> DataFrame:
-    """(source_table, first_id, copy_id) for each record that repeats one with a smaller id."""
-    repeated = materialise(groups(records).where("n > 1"), "groups")
+def _members(built: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(source_table, digest, first_id, id, canon) of the records whose digest occurs more than once; hot digests are salted."""
     hot = F.broadcast(materialise(hot_keys(repeated, "digest").select("digest").distinct().withColumn("hot", F.lit(True)), "hot"))
     salt = lambda c: F.when(F.col("hot"), c)
-    rows = records.join(hot, "digest", "left").withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), F.lit(0))).drop("hot")
+    rows = built.join(hot, "digest", "left").withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), F.lit(0))).drop("hot")
     each = repeated.join(hot, "digest", "left").withColumn("salt", F.explode(F.coalesce(salt(F.sequence(F.lit(0), F.lit(SALTS - 1))), F.array(F.lit(0))))).drop("hot", "n")
-    found = rows.join(each.hint("merge"), ["digest", "salt", "source_table", "canon"])
-    return found.where("id <> first_id").select("source_table", "first_id", F.col("id").alias("copy_id"))
+    return rows.join(each.hint("merge"), ["digest", "salt", "source_table"]).select("source_table", "digest", "first_id", "id", "canon")
+
+
+def groups(records: DataFrame) -> DataFrame:
+    """One row per distinct record: (source_table, first_id, n). Records of a repeated digest are grouped by their whole text."""
+    built, digests = _digested(records)
+    digests = materialise(digests, "digests")
+    members = _members(built, digests.where("n > 1"))
+    alike = members.groupBy("source_table", "digest", "canon").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    return digests.where("n = 1").select("source_table", "first_id", "n").unionByName(alike.select("source_table", "first_id", "n"))
+
+
+def copies(records: DataFrame) -> DataFrame:
+    """(source_table, first_id, copy_id) for each record that repeats one with a smaller id.
+
+    Candidates share a digest; that all texts of a digest are equal is seen by their least and largest one (partial
+    aggregates, one text per group and task). Where they aren't, a collision, the records are grouped by their texts.
+    """
+    built, digests = _digested(records)
+    repeated = materialise(digests.where("n > 1"), "repeated")
+    members = materialise(_members(built, repeated), "members")
+    texts = members.groupBy("source_table", "digest").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    collided = materialise(texts.where("lo <> hi").select("source_table", "digest"), "collided")
+    columns = ["source_table", "first_id", F.col("id").alias("copy_id")]
+    if collided.isEmpty():
+        return members.where("id <> first_id").select(*columns)
+    apart = members.join(collided, ["source_table", "digest"], "left_semi").drop("first_id")
+    own = apart.groupBy("source_table", "digest", "canon").agg(F.min("id").alias("first_id"))
+    rest = apart.join(own, ["source_table", "digest", "canon"]).where("id <> first_id").select(*columns)
+    return members.join(collided, ["source_table", "digest"], "left_anti").where("id <> first_id").select(*columns).unionByName(rest)

@@ -38,7 +38,7 @@ EXTRACTED = ["vendor_name", "invoice_number", "purchase_order", "invoice_date",
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """(source_table, id, digest, canon) of the three tables of records."""
+    """(source_table, id, digest, canon) of the three tables."""
     register = canonical.records_of_columns(_t(spark, d, "invoice_register"), "row_id", [F.col(c) for c in REGISTER])
     extracted = canonical.records_of_columns(_t(spark, d, "extracted_invoices"), "invoice_id", [F.col(f"{c}.value").alias(c) for c in EXTRACTED])
     exports = canonical.records_of_json(_t(spark, d, "invoice_exports"), "rec_id", "record")

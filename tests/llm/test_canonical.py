@@ -41,3 +41,17 @@ def test_copies_with_a_hot_group(spark):
     assert {tuple(r) for r in C.copies(records).collect()} == want
     assert C.groups(records).agg(F.sum("n")).first()[0] == len(rows)
     assert C.copies(records.limit(0)).count() == 0
+
+
+def test_a_collision_joins_nobody(spark):
+    """Two texts under one digest: the texts decide."""
+    d, e = "00" * 16, "11" * 16
+    rows = [("t", 1, d, "x"), ("t", 2, d, "y"), ("t", 3, d, "x"), ("t", 4, d, "y"), ("t", 5, e, "z"), ("t", 6, e, "z"), ("u", 7, d, "x"), ("u", 8, "22" * 16, "w")]
+    records = spark.createDataFrame(rows, "source_table string, id long, digest string, canon string")
+    assert sorted(tuple(r) for r in C.copies(records).collect()) == [("t", 1, 3), ("t", 2, 4), ("t", 5, 6)]
+    assert sorted(tuple(r) for r in C.groups(records).collect()) == [("t", 1, 2), ("t", 2, 2), ("t", 5, 2), ("u", 7, 1), ("u", 8, 1)]
+
+
+def test_a_name_twice_counts_twice(spark):
+    d = digests(spark, ['{"a": "1", "A": "2"}', '{"a": "2", "a": "1"}', '{"a": "2"}'])
+    assert d[0] == d[1] != d[2]
