@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import names as N
 from ledgerloom.llm.components import connected_components
@@ -11,10 +12,12 @@ SAME = [
     ("Plumbing & Heating Belasmond Prisarmond PLC", "P&H Belasmond Prisarmond PLC"), ("Services Lumivthorpe Ormolley", "Svcs Lumivthorpeormolley"), ("Garerton Ivivdale Management Inc.", "Garerton Ivivdale Mgmt Inc"), ("Kelirod & Corunow Timber LLC", "Kelirod & Corunow Tmbr LLC"),
     ("Stanumtash Doroswell Tipografia S.r.l.", "Drooswell, Stanumtash Tipografia Srl"), ("Michael Dorismond", "Dorismond, Mike"), ("Michael Dorismond", "Dorismond (Mick)"), ("Michael Dorismond", "M. Dorismond"), ("Victoria Ormunko", "Ormunko, Vicky"),
     ("Robert Quiledmar", "Robe. Quiledmar"), ("Francisco Quiledmar", "Paco Quiledmar"), ("Johannes Veledic", "Hannes Verledic"), ("Lumorworth Wysandgate Großhandel GmbH", "Lumorworth Wysandgate Groshandel GmbH"), ("Elsilley Office Supplies of Torermar", "Elsilley Off. Supp. of Torermar"),
+    ("Priya Sharma", "P. Sharma"), ("Priya Sharma", "Sharma, P."), ("Aleksandr Ivanov", "Sasha Ivanov"), ("Marolic Remunsen Timber", "Marolic Renunsen Timber"), ("Pelerrod Services of Ivovstad", "Pelerrod Services of Ibovs."), ("Totevow Lueasna Foods", "Torevow Lumasna Foods"),
 ]
 OTHER = [
     ("Pelunter Weninnick Construcción S.L.", "Pelunter Weninnick Logística S.L."), ("Nelovter Kelosford Drukkerij B.V.", "Nelovter Kelosford Vervoer B.V."), ("Susan Ormunko", "Victoria Ormunko"), ("Robert Quiledmar", "Francisco Quiledmar"),
     ("Nelivzel Nelumzel Vervoer B.V.", "Nelovter Kelosford Vervoer B.V."), ("James Thalunfeld", "Zdzisława Thalunfeld"), ("Selivdale, J.", "Susan Nelivgate"), ("Andrew Ormunko", "Elsinford Ormarshaw Chemicals LLC"),
+    ("Priya Sharma", "Q. Sharma"), ("Priya Sharma", "Paul Sharma"),
 ]
 
 
@@ -72,3 +75,32 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_initials_join_one_person_only(spark):
+    linked = {r.name: r.entity for r in N.link(spark.createDataFrame([(n,) for n in ("Priya Sharma", "P. Sharma", "Sharma, P.", "Paul Verlen", "Petra Verlen", "P. Verlen")], "name string")).collect()}
+    assert linked["Priya Sharma"] == linked["P. Sharma"] == linked["Sharma, P."]
+    assert len({linked[n] for n in ("Paul Verlen", "Petra Verlen", "P. Verlen")}) == 3
+
+
+def test_no_task_takes_a_block(spark):
+    """2,000 forms of one block: rows that each hold two chunks, dealt over the tasks."""
+    parsed = spark.range(2000).select(F.format_string("firm|foods|a%d,b|0,0", "id").alias("form"), F.array(F.lit("k")).alias("keys"))
+    rows = N.meetings(parsed).select(F.size("l").alias("l"), F.size("r").alias("r"), "within", F.spark_partition_id().alias("p")).collect()
+    assert max(max(r.l, r.r) for r in rows) < 2 * N.CHUNK
+    assert sum(r.l * (r.l - 1) // 2 if r.within else r.l * r.r for r in rows) == 2000 * 1999 // 2  # each pair once
+    per_task = {}
+    for r in rows:
+        if not r.within:
+            per_task[r.p] = per_task.get(r.p, 0) + 1
+    assert len(per_task) > 1 and max(per_task.values()) < 0.6 * sum(per_task.values())
+
+
+def test_trades_are_learnt(spark):
+    """A word beside many others is one of trade; it then tells firms apart."""
+    stems = [f"{a}{b}ov" for a in ("bel", "cor", "dun", "fer", "gol", "hem") for b in ("ar", "en", "il")]
+    typed = [f"{s} Zegelwerk Ltd" for s in stems] + [f"{s} Plumquist" for s in stems] + ["Belarov Zglwk", "Belarov Zegel. Ltd"]
+    df = spark.createDataFrame([(t,) for t in typed], "name string")
+    assert N.learn_trades(df) == {"zegelwerk", "plumquist"} and N.learn_trades(df.limit(0)) == frozenset()
+    linked = {r.name: r.entity for r in N.link(df).collect()}
+    assert linked["belarov Zegelwerk Ltd"] == linked["Belarov Zglwk"] == linked["Belarov Zegel. Ltd"] != linked["belarov Plumquist"]
