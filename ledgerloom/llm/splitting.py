@@ -1,6 +1,7 @@
 """Splitting of texts above a token limit at natural boundaries, with overlap.
 
-A recursive hierarchy of separators - page, paragraph, line, sentence, word, character - cuts a text into units: a block that
+A recursive hierarchy of separators - page, section (a heading behind a blank line), paragraph, line, sentence, word,
+character - cuts a text into units: a block that
 fits stays whole, a larger one is cut at the next finer separator. Units are packed greedily, in order, into pieces of at
 most ``limit`` tokens; each piece but the first starts with the last whole words of the piece before, as many as have at most
 ``overlap`` tokens in all. Only a run without white space that is too long beside its overlap is cut inside: behind the last
@@ -23,10 +24,13 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import tokens
 
-PAGE, PARAGRAPH, LINE, SENTENCE, WORD = range(5)
+PAGE, SECTION, PARAGRAPH, LINE, SENTENCE, WORD = range(6)
+#: How a heading begins: # marks, a paragraph sign, or a number with a full stop or bracket behind a blank line.
+_HEADING = re.compile(r"#{1,6}$|#{1,6}\w|§|(?:[0-9]{1,3}\.)+[0-9]{0,3}\)?$|[0-9]{1,3}\)$|[IVXLC]{1,7}\.$|[A-Z]\.$|(?i:chapter|section|article|annex|appendix|kapitel|abschnitt|artikel|anlage|chapitre|annexe|cap[ií]tulo|sezione)$").match
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\r*$").search
 #: Behind these a run without white space is cut where it is too long: ends of sentences, then any other punctuation.
 _INNER_SENTENCE = re.compile(r"(?:[!?…。！？｡]|\.(?![a-z0-9]))+[\"'”’»)\]」』）】]*")
@@ -39,7 +43,7 @@ def _marks(piece: str) -> tuple[int, bool]:
     stripped = piece.lstrip()
     space = piece[: len(piece) - len(stripped)] if stripped else piece
     breaks = len(_BREAK(space))
-    kind = PAGE if "\f" in space else PARAGRAPH if breaks > 1 else LINE if breaks else WORD
+    kind = PAGE if "\f" in space else (SECTION if _HEADING(stripped) else PARAGRAPH) if breaks > 1 else LINE if breaks else WORD
     return kind, bool(_SENTENCE_END(piece))
 
 
@@ -70,10 +74,11 @@ def units(strong: list[list[int]], prefix: list[int], fits: int) -> list[tuple[i
 def _fitting(measure, most_chars: int, limit: int, per_char: float) -> tuple[int, int]:
     """About the most characters (1 at least) whose tokens, by ``measure``, are within the limit, and their tokens: guessed
     from tokens a character, then narrowed until at most a thirtieth of the limit, or 2 tokens, stay unused."""
-    low, high, at, found = 0, most_chars + 1, max(1, min(most_chars, int(limit / per_char))), 0
+    low, high, at, found = 0, most_chars + 1, max(1, min(most_chars, int(0.99 * limit / per_char))), 0
     close = max(2, limit // 30)
     for _ in range(64):
         n = measure(at)
+        per_char = max(0.01, n / at)  # as dense as here
         if n <= limit:
             low, found = at, n
             if limit - n <= close or at + 1 >= high:
@@ -117,6 +122,7 @@ def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in
             at, done = _tail(text, seed[0] + 1, low, overlap, per_char, size)[0], low
     while True:
         chars, n = _fitting(lambda k: size(text[at : at + k]), end - at, limit, per_char)
+        per_char = max(0.01, n / chars)
         low = at + chars
         if low <= done and at < done:  # nothing new fits behind the overlap
             at = done
@@ -277,4 +283,6 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
         if rows:
             yield flush()
 
-    return docs.select(key, text).mapInArrow(run, f"budget_id long, {key} {kind}, piece_no int, start int, end int, n_tokens int, piece string")
+    # tasks of about as many bytes of text each: files may hold few long texts or many short ones
+    even = docs.select(key, text).where(F.length(text) > 0).hint("rebalance")
+    return even.mapInArrow(run, f"budget_id long, {key} {kind}, piece_no int, start int, end int, n_tokens int, piece string")

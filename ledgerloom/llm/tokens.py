@@ -70,7 +70,8 @@ class Sizer:
         self.later, self.alone, self.shaped, self.cut = later, alone or later, shaped, cut
         shape = Memory(later)
         self._memory = Memory(lambda p: shape[digits_as_zero(p)]) if shaped else shape
-        self._first = Memory(self.alone)
+        start = shape if self.alone is later else Memory(self.alone)
+        self._first = self._memory if self.alone is later else Memory(lambda p: start[digits_as_zero(p)]) if shaped else start
 
     def __call__(self, parts: list[str]) -> list[int]:
         """Sizes of the pieces of one text, in order."""
