@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import tokens
 
 PAGE, SECTION, PARAGRAPH, LINE, SENTENCE, WORD = range(6)
-#: How a heading begins: # marks, a paragraph sign, or a number with a full stop or bracket behind a blank line.
-_HEADING = re.compile(r"#{1,6}$|#{1,6}\w|§|(?:[0-9]{1,3}\.)+[0-9]{0,3}\)?$|[0-9]{1,3}\)$|[IVXLC]{1,7}\.$|[A-Z]\.$|(?i:chapter|section|article|annex|appendix|kapitel|abschnitt|artikel|anlage|chapitre|annexe|cap[ií]tulo|sezione)$").match
+#: What begins a section behind a blank line: a rule, # marks, a paragraph sign, or a number with a full stop or bracket.
+_HEADING = re.compile(r"[-*_=~]{3,}$|#{1,6}$|#{1,6}\w|§|(?:[0-9]{1,3}\.)+[0-9]{0,3}\)?$|[0-9]{1,3}\)$|[IVXLC]{1,7}\.$|[A-Z]\.$|(?i:chapter|section|article|annex|appendix|kapitel|abschnitt|artikel|anlage|chapitre|annexe|cap[ií]tulo|sezione)$").match
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\r*$").search
 #: Behind these a run without white space is cut where it is too long: ends of sentences, then any other punctuation.
 _INNER_SENTENCE = re.compile(r"(?:[!?…。！？｡]|\.(?![a-z0-9]))+[\"'”’»)\]」』）】]*")
@@ -175,9 +175,10 @@ def _shared(folder: str, names: tuple[str, ...]) -> tokens.Profile:
     return tokens.Profile([tokens.sizer(folder, n) for n in names], _marks)
 
 
-def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0) -> list[tuple[int, int, int]]:
+def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0, full: bool = False) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text above the limit; [] for one within it. ``known``: the text's cut, where
-    it is there already, with the sizes by this tokenizer at position ``at``."""
+    it is there already, with the sizes by this tokenizer at position ``at``. ``full``: pieces end at whatever word fills them
+    best, not at the strongest separator."""
     if limit < 8:
         raise ValueError("a limit under 8 tokens is too small for any character")
     if not text:
@@ -228,7 +229,7 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
         begin, fresh, start, due = s, end, at, False
         more = n if inner else extra(s) if s < len(parts) else 0
 
-    for a, b in units(strong, prefix, fits):
+    for a, b in zip(range(len(parts)), range(1, len(parts) + 1)) if full else units(strong, prefix, fits):
         if prefix[b] - prefix[begin] + more > limit:
             close()
         if prefix[b] - prefix[begin] + more > limit and b - a == 1 and n[a] + extra(a) > fits:
