@@ -86,15 +86,18 @@ def move_pages(grouped: DataFrame, moves: DataFrame, batch: str) -> DataFrame:
 
 
 def groups(pages: DataFrame, batch: list[str], page: str, number: str) -> DataFrame:
-    """One row per group: its first number, first page, number of pages, and pages without a number after the first."""
-    first = pages.groupBy(*batch, "group_no").agg(F.min(page).alias("first_page"), F.count("*").alias("pages"), F.min_by(number, F.when(F.col(number).isNotNull(), F.col(page))).alias("number"), F.count_if(F.col(number).isNull()).alias("unnumbered"))
-    return first
+    """One row per group: its first number, first page, number of pages, pages without a number, and of client, extra and
+    source, where pages have them, the first that isn't null."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(page))).alias(c)
+    more = [first(c) for c in ("client", "extra", "source") if c in pages.columns]
+    return pages.groupBy(*batch, "group_no").agg(F.min(page).alias("first_page"), F.count("*").alias("pages"), first(number), F.count_if(F.col(number).isNull()).alias("unnumbered"), *more)
 
 
 def combine_by_number(grouped: DataFrame, batch: list[str], number: str = "number") -> DataFrame:
     """Groups of one number, adjacent or not, as one; groups without a number stay apart."""
     key = F.when(F.col(number).isNotNull(), F.concat(F.lit("n:"), F.col(number))).otherwise(F.concat(F.lit("g:"), F.col("group_no").cast("string")))
-    return grouped.groupBy(*batch, key.alias("_k")).agg(F.min("group_no").alias("group_no"), F.first(number, True).alias(number), F.min("first_page").alias("first_page"), F.sum("pages").alias("pages")).drop("_k")
+    more = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("group_no"))).alias(c) for c in ("extra", "client") if c in grouped.columns]
+    return grouped.groupBy(*batch, key.alias("_k")).agg(F.min("group_no").alias("group_no"), F.first(number, True).alias(number), F.min("first_page").alias("first_page"), F.sum("pages").alias("pages"), *more).drop("_k")
 
 
 def page_runs(df: DataFrame, keys: list[str], page: str) -> DataFrame:
@@ -105,6 +108,40 @@ def page_runs(df: DataFrame, keys: list[str], page: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
+def group_pages(pages: DataFrame, batch: list[str], order: list[str], mode: str = "number", number: str = "number", text: str = "text", unnumbered: str = "attach", marker: str = "", every: int = 1) -> DataFrame:
+    """Adds group_no by the way asked for: ``marker``, ``every``, and anything else by number."""
+    if mode == "marker":
+        return by_marker(pages, batch, order, text, marker)
+    return every_n(pages, batch, order, every) if mode == "every" else by_number(pages, batch, order, number, unnumbered)
+
+
+def typed_numbers(grouped: DataFrame, typed: DataFrame, batch: list[str]) -> DataFrame:
+    """Groups (batch, group_no, number, source) with the numbers a person typed (batch, group_no, typed): trimmed, a blank one
+    means none; such a group's source is ``manual``, or null without a number."""
+    own = typed.select(*batch, "group_no", F.trim("typed").alias("_t")).where("_t IS NOT NULL").dropDuplicates([*batch, "group_no"])
+    both = grouped.join(own, [*batch, "group_no"], "left")
+    there = F.col("_t").isNotNull()
+    return both.withColumn("number", F.when(there, F.nullif("_t", F.lit(""))).otherwise(F.col("number"))).withColumn("source", F.when(there & (F.col("_t") != ""), "manual").when(there, None).otherwise(F.col("source"))).drop("_t")
+
+
+def first_flags(number: Column, source: Column, conflict: Column, ocr: Column) -> Column:
+    """The flags a group starts with."""
+    flag = lambda name, cond: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
+    return F.array_compact(F.array(flag("no-number", number.isNull()), flag("fallback", source == "bare"), flag("conflict", conflict), flag("ocr", ocr)))
+
+
+def continuations(pages: DataFrame, batch: list[str], page: str, number: str) -> DataFrame:
+    """(batch, group_no, page): pages without a number that aren't the first of their group, one row each."""
+    first = pages.groupBy(*batch, "group_no").agg(F.min(page).alias("_first"))
+    return pages.join(first, [*batch, "group_no"]).where(F.col(number).isNull() & (F.col(page) > F.col("_first"))).select(*batch, "group_no", page)
+
+
+def settled(pages: DataFrame, batch: list[str], page: str) -> DataFrame:
+    """Adds group_id, 'g' with the group's first page, by which groups are in order."""
+    first = pages.groupBy(*batch, "group_no").agg(F.min(page).alias("_first"))
+    return pages.join(first, [*batch, "group_no"]).withColumn("group_id", F.concat(F.lit("g"), F.col("_first").cast("string"))).drop("_first")
+
+
 def unique_names(df: DataFrame, name: str, order: str, extension: str = ".pdf") -> DataFrame:
     """Adds file_name and clashes: names alike but for letter case get (2), (3), ... in order, within the longest name.
 

@@ -14,6 +14,16 @@ def deletions(c: Column) -> Column:
     return F.array_distinct(F.array_append(less, c))
 
 
+def build(entries: DataFrame, order: str) -> DataFrame:
+    """(number, client, po): a list without repeats; of entries that are one number the first stays. ``client`` and ``po`` may
+    be missing."""
+    for name in ("client", "po"):
+        if name not in entries.columns:
+            entries = entries.withColumn(name, F.lit(None).cast("string"))
+    keyed = entries.select(known_key(F.col("number")).alias("number"), "client", "po", order).where("number <> ''")
+    return keyed.groupBy("number").agg(F.min_by(F.struct("client", "po"), order).alias("e")).select("number", "e.client", "e.po")
+
+
 def check(numbers: DataFrame, listed: DataFrame) -> DataFrame:
     """(number, status, suggestion): ``verified`` when listed, ``near`` with the one entry that looks alike or is one edit
     away when there is exactly one, else ``unknown``. Both inputs have one column ``number``; empty ones are left out."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import po_key
+from ledgerloom.runtime import ranked
 
 
 def reconcile(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -29,17 +30,50 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """Adds difference (row less document, where it is over half a cent) and po_differs to pairs with doc_amount,
-    row_amount (decimals), doc_po and row_po. What either side leaves out is no difference."""
-    d = F.col("row_amount") - F.col("doc_amount")
+    """Adds difference (row less document in cents, halves away from less, where it is over half a cent), currency_differs
+    (which comes before a difference of amounts) and po_differs to pairs with doc_amount, row_amount (decimals), doc_po, row_po
+    and perhaps doc_currency, row_currency. What either side leaves out is no difference."""
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    return pairs.withColumn("difference", F.when(F.abs(d) > 0.005, d)).withColumn("po_differs", F.coalesce(po_key(blank("doc_po")) != po_key(blank("row_po")), F.lit(False)) & blank("doc_po").isNotNull() & blank("row_po").isNotNull())
+    currency = F.coalesce(F.col("doc_currency") != F.col("row_currency"), F.lit(False)) if {"doc_currency", "row_currency"} <= set(pairs.columns) else F.lit(False)
+    d = F.floor((F.col("row_amount") - F.col("doc_amount")) * 100 + F.lit(0.5)).cast("decimal(20,0)") / 100
+    po = F.coalesce(po_key(blank("doc_po")) != po_key(blank("row_po")), F.lit(False)) & blank("doc_po").isNotNull() & blank("row_po").isNotNull()
+    return pairs.withColumn("currency_differs", currency).withColumn("difference", F.when(~F.col("currency_differs") & (F.abs(d) > 0.005), d.cast("decimal(20,2)"))).withColumn("po_differs", po)
 
 
-def others_of_key(df: DataFrame, key: str, name: str, most: int | None = None) -> DataFrame:
-    """Adds ``others``: the first and the number of the other members of a row's key (bounded, so a hot key stays small)."""
-    members = df.groupBy(key).agg(F.count("*").alias("members"), F.min(name).alias("first_member"))
-    return df.join(members, key).withColumn("others", F.col("members") - 1)
+def key_members(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """(key, name, place, members): the members of each key that has several, numbered in order. A row's note lists the other
+    members of its key; kept apart from the rows, a key's list is written once, not once for each member."""
+    several = duplicates(df, key).withColumnRenamed("n", "members")
+    return ranked(df.select(key, name, order), [key], order, "place").join(several, key).select(key, name, "place", "members")
+
+
+def notes(df: DataFrame, key: str, name: str, order: str, most: int = 20) -> DataFrame:
+    """Adds note: 'Duplicate: also in a, b' with the other members of a row's key in order; null without others. Lists name the
+    first ``most`` members and say how many more there are (``key_members`` has all)."""
+    members = key_members(df, key, name, order)
+    named = members.where(F.col("place") <= most + 1).groupBy(key).agg(F.first("members").alias("_n"), F.array_sort(F.collect_list(F.struct("place", F.col(name).alias("m"), F.col("place").alias("p")))).alias("_m"))
+    placed = ranked(df, [key], order, "_at").join(named, key, "left")
+    others = F.transform(F.slice(F.filter("_m", lambda m: m["p"] != F.col("_at")), 1, most), lambda m: m["m"].cast("string"))
+    more = F.col("_n") - 1 - F.size(others)
+    text = F.concat(F.lit("Duplicate: also in "), F.array_join(others, ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return placed.withColumn("note", F.when((F.col("_n") > 1) & (F.coalesce(F.col(key), F.lit("")) != ""), text)).drop("_n", "_m", "_at")
+
+
+# Signs put before an amount of a currency.
+SIGNS = {"USD": "$", "EUR": "€", "GBP": "£"}
+
+
+def format_money(value: Column, currency: Column) -> Column:
+    """An amount for people: '$1,234.50', '-€3.00', 'CHF 12.00', '12.00' without a currency."""
+    sign = F.try_element_at(F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair]), currency)
+    lead = F.coalesce(sign, F.concat(currency, F.lit(" ")), F.lit(""))
+    return F.concat(F.when(value < 0, "-").otherwise(""), lead, F.format_number(F.abs(value).cast("decimal(20,2)"), 2))
+
+
+def customers_of(rows: DataFrame, key: str, customer: str, order: str) -> DataFrame:
+    """(key, customer): the first customer that a sheet names for each key."""
+    named = rows.where((F.col(key) != "") & (F.trim(F.col(customer)) != ""))
+    return named.groupBy(key).agg(F.min_by(customer, order).alias(customer))
 
 
 def missing_from(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -67,12 +101,3 @@ def bag_matches(got: DataFrame, want: DataFrame, group: str, columns: list[str])
     n = lambda df, name: df.groupBy(group, *columns).agg(F.count("*").alias(name))
     both = n(got, "_got").join(n(want, "_want"), [group, *columns], "full_outer").fillna(0, ["_got", "_want"])
     return both.groupBy(group).agg(F.sum(F.least("_got", "_want")).alias("matched"), F.sum("_got").alias("got"), F.sum("_want").alias("want"))
-
-
-def first_of_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """(key, value): the first value that isn't null."""
-    return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))
-
-
-def with_first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

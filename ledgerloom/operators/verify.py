@@ -34,12 +34,12 @@ def page_order(pages: DataFrame, keys: list[str], page: str, at: str, of: str) -
     return found.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def learn_shapes(numbers: DataFrame, key: str, number: str, most: int = 5) -> DataFrame:
-    """(key, n, shapes, prefix): a client's shapes of numbers, the most frequent first, and the letters all its numbers start
-    with where there are at least two. Counted per (key, shape) first, so a hot client is a handful of rows."""
+def learn_shapes(numbers: DataFrame, key: str, number: str) -> DataFrame:
+    """(key, n, shapes, prefix): all shapes of a client's numbers, the most frequent first, and the letters all its numbers start
+    with where there are at least two. Counted per (key, shape) first, so a hot client is as many rows as it has shapes."""
     rows = numbers.where(F.col(number).isNotNull() & (F.col(number) != "")).select(key, shapes.value_shape(F.col(number)).alias("_s"), F.regexp_extract(F.upper(number), "^[A-Z]+", 0).alias("_p"))
     each = rows.groupBy(key, "_s").agg(F.count("*").alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    ordered = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_s").alias("s")))), 1, most), lambda x: x["s"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_s").alias("s")))), lambda x: x["s"])
     prefix = F.when((F.sum("_n") >= 2) & (F.min("_lo") == F.max("_hi")), F.nullif(F.min("_lo"), F.lit("")))
     return each.groupBy(key).agg(F.sum("_n").alias("n"), ordered.alias("shapes"), prefix.alias("prefix"))
 

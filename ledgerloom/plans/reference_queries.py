@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom import streaming
 from ledgerloom.functions import dates, documents, files, keys, money, shapes
-from ledgerloom.operators import detect, grouping, known, reconcile, scoring, summary, verify
+from ledgerloom.functions import pages as pages_of
+from ledgerloom.operators import checks, detect, extraction, fields, grouping, known, profiles, reconcile, scoring, summary, verify
 from ledgerloom.plans import sql as S
+from ledgerloom.streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,13 +75,13 @@ _ISO = "try_cast(concat_ws('-', {0}, lpad({1}, 2, '0'), lpad({2}, 2, '0')) as da
 @query(
     f"""with t as (select row_id, trim(coalesce(invoice_date, '')) s from invoice_register), p as (select row_id, s,
     regexp_extract(s, '\\b([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})\\b', ['y', 'm', 'd']) iso,
-    regexp_extract(s, '^([0-9]{{1,2}})-([A-Za-z]+)-([0-9]{{4}})$', ['d', 'm', 'y']) dm, regexp_extract(s, '^([A-Za-z]+) ([0-9]{{1,2}}), ([0-9]{{4}})$', ['m', 'd', 'y']) md,
-    regexp_extract(s, '^([0-9]{{1,2}})[.]([0-9]{{1,2}})[.]([0-9]{{4}})$', ['d', 'm', 'y']) dots from t where not regexp_matches(s, '^[0-9]{{1,2}}[./]?[A-Za-z]+[./]?[0-9]{{4}}$'))
+    regexp_extract(s, '^([0-9]{{1,2}})[-/.]?([A-Za-z]+)[-/.]?([0-9]{{4}})$', ['d', 'm', 'y']) dm, regexp_extract(s, '^([A-Za-z]+) ([0-9]{{1,2}}), ([0-9]{{4}})$', ['m', 'd', 'y']) md,
+    regexp_extract(s, '^([0-9]{{1,2}})[.]([0-9]{{1,2}})[.]([0-9]{{4}})$', ['d', 'm', 'y']) dots from t)
     select row_id, strftime(case when iso.y <> '' then {_ISO.format('iso.y', 'iso.m', 'iso.d')} when dm.d <> '' then {_ISO.format('dm.y', _MONTHS.format('dm.m') + '::varchar', 'dm.d')}
     when md.d <> '' then {_ISO.format('md.y', _MONTHS.format('md.m') + '::varchar', 'md.d')} when dots.d <> '' then {_ISO.format('dots.y', 'dots.m', 'dots.d')} end, '%Y-%m-%d') as day from p"""
 )
 def dates_parsed(spark, d):
-    """The day of every row. The SQL above leaves out rows written day, month's name, year with /, . or nothing between."""
+    """The day of every row."""
     return _t(spark, d, "invoice_register").select("row_id", dates.parse_date(F.col("invoice_date"))["day"].cast("string").alias("day"))
 
 
@@ -105,21 +107,19 @@ def value_shapes(spark, d):
     return _t(spark, d, "extracted_invoices").select("invoice_id", shapes.value_shape(F.col("invoice_number.value")).alias("shape"))
 
 
-@query(f"select invoice_id, regexp_matches(shape, '^A([1-9]|[0-9]{{2}}) . D') as fits from (select invoice_id, {S.shape('invoice_number.value')} as shape from extracted_invoices) where false")
+@query(
+    f"""with s as (select invoice_id, {S.shape('invoice_number.value')} s from extracted_invoices where invoice_number.value is not null), w as (select string_split(s, ' ') w from (select s, count(*) n from s where s <> '' group by s order by n desc, s limit 1)),
+    p as (select invoice_id, string_split(s, ' ') h, w from s, w) select invoice_id, len(h) = len(w) and len(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when regexp_matches(w[i], '^[AD][0-9]+$') and regexp_matches(h[i], '^[AD][0-9]+$')
+    then w[i][1] = h[i][1] and abs(w[i][2:]::int - h[i][2:]::int) <= case when len(w) > 1 then greatest(1, w[i][2:]::int // 2) else 1 end else w[i] = h[i] end), lambda ok: ok)) = len(w) as fits from p"""
+)
 def shape_fits(spark, d):
-    """Numbers whose shape fits the most frequent shape of all rows, the first in order among equals; the SQL has 'A3 . D8'."""
+    """Numbers whose shape fits the most frequent shape of all rows, the first in order among equals."""
     rows = _t(spark, d, "extracted_invoices").select("invoice_id", F.col("invoice_number.value").alias("v")).where("v IS NOT NULL")
     counts = rows.groupBy(shapes.value_shape(F.col("v")).alias("shape")).agg(F.count("*").alias("n")).where("shape <> ''")
     leading = counts.groupBy().agg(F.min_by("shape", F.struct(-F.col("n"), F.col("shape"))).alias("shape"))
     return rows.crossJoin(F.broadcast(leading)).select("invoice_id", shapes.fits_shape(F.col("v"), F.col("shape")).alias("fits"))
 
 
-ORACLES["shape_fits"] = (
-    f"with s as (select invoice_id, string_split({S.shape('invoice_number.value')}, ' ') p from extracted_invoices where invoice_number.value is not null) select invoice_id, len(p) = 3 and regexp_matches(coalesce(p[1], ''), '^A[0-9]+$') and coalesce(p[2], '') = '.' and regexp_matches(coalesce(p[3], ''), '^D[0-9]+$')"
-    " and abs(3 - try_cast(coalesce(p[1], 'A99')[2:] as int)) <= 1 and abs(8 - coalesce(try_cast(coalesce(p[3], 'D99')[2:] as int), 99)) <= 4 as fits from s"
-)
-
-
 @query(
     f"""with n as (select invoice_id, {S.known('invoice_number.value')} v from extracted_invoices), c as (select invoice_id, v, unnest(range(1, length(v) + 1)) i from n where v <> ''),
     s as (select invoice_id, concat(v[:i-1], o, v[i+1:]) swapped from (select invoice_id, v, i, unnest(string_split(case v[i] when '0' then 'O' when 'O' then '0' when '1' then 'I,L' when 'I' then '1' when 'L' then '1' when '5' then 'S' when 'S' then '5' when '8' then 'B' when 'B' then '8' when '2' then 'Z' when 'Z' then '2' when '6' then 'G' when 'G' then '6' end, ',')) o from c))
@@ -162,14 +162,15 @@ def file_name_numbers(spark, d):
 
 
 def _items(spark, d):
-    return _t(spark, d, "extracted_invoices").where("doc_id IS NOT NULL").select("doc_id", keys.match_key(F.col("invoice_number.value")).alias("key"), F.col("total_due.value").try_cast("decimal(20,2)").alias("doc_amount"), F.col("purchase_order.value").alias("doc_po"))
+    """Every extracted invoice, also those whose upload is no longer kept, as a document by its own id."""
+    return _t(spark, d, "extracted_invoices").select(F.col("invoice_id").alias("doc_id"), keys.match_key(F.col("invoice_number.value")).alias("key"), F.col("total_due.value").try_cast("decimal(20,2)").alias("doc_amount"), F.col("purchase_order.value").alias("doc_po"))
 
 
 def _rows(spark, d):
     return _t(spark, d, "invoice_register").select("row_id", keys.match_key(F.col("invoice_no")).alias("key"), money.typed_amount(F.col("amount")).alias("row_amount"), F.col("po_number").alias("row_po"))
 
 
-_PDF = f"pdf as (select doc_id, {S.match_key('invoice_number.value')} key, try_cast(total_due.value as decimal(20,2)) doc_amount, purchase_order.value doc_po from extracted_invoices where doc_id is not null)"
+_PDF = f"pdf as (select invoice_id as doc_id, {S.match_key('invoice_number.value')} key, try_cast(total_due.value as decimal(20,2)) doc_amount, purchase_order.value doc_po from extracted_invoices)"
 _SHEET = f"sheet as (select row_id, {S.match_key('invoice_no')} key, {S.money('amount', 'EUR|GBP|CHF|USD|PLN', False)} row_amount, po_number row_po from invoice_register)"
 _FIRST = "firsts as (select key, min(row_id) row_id from sheet where key <> '' group by key)"
 
@@ -209,16 +210,16 @@ def missing_numbers(spark, d):
 
 
 @query(
-    "with r as (select doc_id, kind as owner_id, sha256, created from documents where sha256 is not null), f as (select owner_id, sha256, min(struct_pack(created := created, doc_id := doc_id)) f from r group by all)"
+    "with r as (select doc_id, owner_id, sha256, created from documents where sha256 is not null), f as (select owner_id, sha256, min(struct_pack(created := created, doc_id := doc_id)) f from r group by all)"
     " select r.doc_id, f.f.doc_id as duplicate_of from r join f using (owner_id, sha256) where struct_pack(created := r.created, doc_id := r.doc_id) > f.f"
 )
 def duplicate_documents(spark, d):
-    return reconcile.duplicate_of(_t(spark, d, "documents").select("doc_id", "kind", "sha256", "created"), "kind", ["sha256"], "doc_id", "created")
+    return reconcile.duplicate_of(_t(spark, d, "documents").select("doc_id", "owner_id", "sha256", "created"), "owner_id", ["sha256"], "doc_id", "created")
 
 
-@query("select distinct owner_id, regexp_replace(lower(vendor), '[^a-z0-9]', '', 'g') as vendor from documents where vendor is not null and reviewed_by is not null")
+@query("select distinct owner_id, regexp_replace(lower(vendor), '[^a-z0-9]', '', 'g') as vendor from documents where vendor is not null and status = 'accepted'")
 def known_vendors(spark, d):
-    return _t(spark, d, "documents").where("vendor IS NOT NULL AND reviewed_by IS NOT NULL").select("owner_id", keys.vendor_key(F.col("vendor")).alias("vendor")).distinct()
+    return _t(spark, d, "documents").where("vendor IS NOT NULL AND status = 'accepted'").select("owner_id", keys.vendor_key(F.col("vendor")).alias("vendor")).distinct()
 
 
 @query("select doc_id, created from documents order by created desc, doc_id limit 100")
@@ -267,14 +268,17 @@ def invoice_status(spark, d):
     return _owed(spark, d).select("invoice_id", "days_left", "status")
 
 
+_LATE = ", ".join(f"round(coalesce(sum(total) filter (({S.BUCKET}) = '{b}'), 0)::double, 2) as {b}" for b, _, _ in summary.BUCKETS)
+
+
 @query(
     f"with {_OWED} select currency, round(sum(total)::double, 2) as outstanding, count(*) as open, round(coalesce(sum(total) filter (status = 'overdue'), 0)::double, 2) as overdue, count(*) filter (status = 'overdue') as overdue_count,"
-    f" round(coalesce(sum(total) filter (status = 'soon'), 0)::double, 2) as soon, count(*) filter (status = 'soon') as soon_count, count(*) filter (status = 'unknown') as unknown_count, round(coalesce(sum(total) filter (({S.BUCKET}) = 'late90'), 0)::double, 2) as late90, round(coalesce(sum(total) filter (({S.BUCKET}) = 'month'), 0)::double, 2) as month from owed where total is not null group by currency"
+    f" round(coalesce(sum(total) filter (status = 'soon'), 0)::double, 2) as soon, count(*) filter (status = 'soon') as soon_count, count(*) filter (status = 'unknown') as unknown_count, {_LATE} from owed where total is not null group by currency"
 )
 def totals_by_currency(spark, d):
     t = summary.totals_by_currency(_owed(spark, d))
     r = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
-    return t.select("currency", r("outstanding"), "open", r("overdue"), "overdue_count", r("soon"), "soon_count", "unknown_count", r("late90"), r("month"))
+    return t.select("currency", r("outstanding"), "open", r("overdue"), "overdue_count", r("soon"), "soon_count", "unknown_count", *[r(b) for b, _, _ in summary.BUCKETS])
 
 
 @query(
@@ -330,49 +334,65 @@ def pages(spark, d):
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\f")).alias("page_index", "text")).withColumn("page_index", F.col("page_index") + 1)
 
 
-def _events(spark, d):
-    return _t(spark, d, "events").select("event_id", "user_id", "ts", "value", "event_type", F.when(F.col("value") > 20, F.col("event_type")).alias("number"))
+#: What ends a sheet: a page break, or a rule on a line of its own.
+_CUT = r"\x0c|\r?\n-{3,}\r?\n"
+_NUMBER = r"(?i)\binvoice (?:no|number)[.:]?[ \t]+([A-Z0-9][A-Z0-9_./-]*[0-9])"
 
 
-_EVENTS = "e as (select event_id, user_id, ts, value, event_type, case when value > 20 then event_type end number from events)"
+def sheets(spark, d):
+    """Sheets of every document, with the number behind a plain label on them."""
+    docs = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", _CUT)).alias("page_index", "text"))
+    return docs.withColumn("page_index", F.col("page_index") + 1).withColumn("number", F.nullif(F.regexp_extract("text", _NUMBER, 1), F.lit("")))
 
 
-@query(
-    f"with {_EVENTS}, b as (select *, last_value(number ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) prev, row_number() over (partition by user_id order by ts, event_id) rn from e)"
-    " select event_id, sum(case when rn = 1 or (number is not null and number is distinct from prev) then 1 else 0 end) over (partition by user_id order by ts, event_id)::bigint as group_no from b"
-)
+_SHEETS = rf"s as (select doc_id, unnest(range(1, len(t) + 1)) page_index, unnest(t) text from (select doc_id, string_split_regex(text, '{_CUT}') t from documents where text is not null)), e as (select *, nullif(regexp_extract(text, '{_NUMBER}', 1), '') number from s)"
+_BY_NUMBER = "b as (select *, last_value(number ignore nulls) over (partition by doc_id order by page_index rows between unbounded preceding and 1 preceding) prev, row_number() over (partition by doc_id order by page_index) rn from e)"
+_STARTS = "sum(case when rn = 1 or (number is not null and number is distinct from prev) then 1 else 0 end) over (partition by doc_id order by page_index)::bigint"
+
+
+@query(f"with {_SHEETS}, {_BY_NUMBER} select doc_id, page_index, {_STARTS} as group_no from b")
 def groups_by_number_attach(spark, d):
-    return grouping.by_number(_events(spark, d), ["user_id"], ["ts", "event_id"], "number").select("event_id", "group_no")
+    return grouping.by_number(sheets(spark, d), ["doc_id"], ["page_index"], "number").select("doc_id", F.col("page_index").cast("long").alias("page_index"), "group_no")
 
 
 @query(
-    f"with {_EVENTS}, b as (select *, lag(number) over (partition by user_id order by ts, event_id) prev, row_number() over (partition by user_id order by ts, event_id) rn from e)"
-    " select event_id, sum(case when rn = 1 or number is distinct from prev then 1 else 0 end) over (partition by user_id order by ts, event_id)::bigint as group_no from b"
+    f"with {_SHEETS}, b as (select *, lag(number) over (partition by doc_id order by page_index) prev, row_number() over (partition by doc_id order by page_index) rn from e)"
+    " select doc_id, page_index, sum(case when rn = 1 or number is distinct from prev then 1 else 0 end) over (partition by doc_id order by page_index)::bigint as group_no from b"
 )
 def groups_by_number_review(spark, d):
-    return grouping.by_number(_events(spark, d), ["user_id"], ["ts", "event_id"], "number", "review").select("event_id", "group_no")
+    return grouping.group_pages(sheets(spark, d), ["doc_id"], ["page_index"], unnumbered="review").select("doc_id", F.col("page_index").cast("long").alias("page_index"), "group_no")
 
 
 @query(
-    "with b as (select event_id, user_id, ts, contains(lower(event_type), 'error') hit, row_number() over (partition by user_id order by ts, event_id) rn from events) select event_id, sum(case when rn = 1 or hit then 1 else 0 end) over (partition by user_id order by ts, event_id)::bigint as group_no from b"
+    rf"with {_SHEETS}, b as (select *, contains(lower(regexp_replace(text, '\s+', ' ', 'g')), 'bill to') hit, row_number() over (partition by doc_id order by page_index) rn from e) select doc_id, page_index, sum(case when rn = 1 or hit then 1 else 0 end) over (partition by doc_id order by page_index)::bigint as group_no from b"
 )
 def groups_by_marker(spark, d):
-    return grouping.by_marker(_events(spark, d), ["user_id"], ["ts", "event_id"], "event_type", "ERROR").select("event_id", "group_no")
+    return grouping.group_pages(sheets(spark, d), ["doc_id"], ["page_index"], "marker", marker="Bill TO").select("doc_id", F.col("page_index").cast("long").alias("page_index"), "group_no")
 
 
-@query("select event_id, ((row_number() over (partition by user_id order by ts, event_id) - 1) // 3 + 1)::bigint as group_no from events")
+@query(f"with {_SHEETS} select doc_id, page_index, ((row_number() over (partition by doc_id order by page_index) - 1) // 3 + 1)::bigint as group_no from e")
 def groups_every_n(spark, d):
-    return grouping.every_n(_events(spark, d), ["user_id"], ["ts", "event_id"], 3).select("event_id", "group_no")
+    return grouping.group_pages(sheets(spark, d), ["doc_id"], ["page_index"], "every", every=3).select("doc_id", F.col("page_index").cast("long").alias("page_index"), "group_no")
 
 
-@query(
-    f"with {_EVENTS}, b as (select *, last_value(number ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) prev, row_number() over (partition by user_id order by ts, event_id) rn from e),"
-    " g as (select *, sum(case when rn = 1 or (number is not null and number is distinct from prev) then 1 else 0 end) over (partition by user_id order by ts, event_id)::bigint group_no from b)"
-    " select user_id, group_no, min(event_id) as first_page, count(*) as pages, arg_min(number, event_id) filter (number is not null) as number, count(*) filter (number is null) as unnumbered from g group by user_id, group_no"
-)
+_GROUPS = f"{_SHEETS}, {_BY_NUMBER}, g as (select *, {_STARTS} group_no from b), h as (select doc_id, group_no, min(page_index) as first_page, count(*) as pages, arg_min(number, page_index) filter (number is not null) as number, count(*) filter (number is null) as unnumbered from g group by doc_id, group_no)"
+
+
+@query(f"with {_GROUPS} select * from h")
 def page_groups(spark, d):
-    grouped = grouping.by_number(_events(spark, d), ["user_id"], ["ts", "event_id"], "number")
-    return grouping.groups(grouped, ["user_id"], "event_id", "number")
+    grouped = grouping.by_number(sheets(spark, d), ["doc_id"], ["page_index"], "number")
+    return grouping.groups(grouped, ["doc_id"], "page_index", "number").withColumn("first_page", F.col("first_page").cast("long"))
+
+
+@query(f"with {_GROUPS} select doc_id, number, min(group_no) as group_no, min(first_page) as first_page, sum(pages)::bigint as pages from h group by doc_id, number, case when number is null then group_no end")
+def combined_groups(spark, d):
+    return grouping.combine_by_number(page_groups(spark, d), ["doc_id"]).select("doc_id", "number", "group_no", "first_page", "pages")
+
+
+@query(f"with {_SHEETS}, {_BY_NUMBER}, g as (select *, {_STARTS} group_no from b), f as (select doc_id, group_no, min(page_index) first from g group by all) select doc_id, group_no, page_index from g join f using (doc_id, group_no) where number is null and page_index > first")
+def continuation_pages(spark, d):
+    grouped = grouping.by_number(sheets(spark, d), ["doc_id"], ["page_index"], "number")
+    return grouping.continuations(grouped, ["doc_id"], "page_index", "number").withColumn("page_index", F.col("page_index").cast("long"))
 
 
 @query(
@@ -393,11 +413,18 @@ def unique_file_names(spark, d):
     return grouping.unique_names(rows, "name", "row_id").select("row_id", "file_name", "clashes")
 
 
+_RUN = "try_cast(nullif(regexp_extract(invoice_number.value, '([0-9]+)[^0-9]*$', 1), '') as double)"
+
+
 @query(
-    "with o as (select o_orderkey, o_custkey, o_totalprice v from orders), e as (select a.o_orderkey, a.v, min(b.v) lo, max(b.v) hi, count(*) n from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey group by 1, 2) select o_orderkey from e where n >= 2 and (v < lo - greatest(hi - lo, 500) or v > hi + greatest(hi - lo, 500))"
+    f"with o as (select invoice_id, vendor_name.value c, {S.shape('invoice_number.value')} s, {_RUN} v from extracted_invoices where {_RUN} is not null and vendor_name.value is not null), e as (select a.invoice_id, a.v, min(b.v) lo, max(b.v) hi, count(*) n from o a join o b on a.c = b.c and a.s = b.s and a.invoice_id <> b.invoice_id group by 1, 2)"
+    " select invoice_id from e where n >= 2 and (v < lo - greatest(hi - lo, 500) or v > hi + greatest(hi - lo, 500))"
 )
 def out_of_sequence(spark, d):
-    return grouping.outliers(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice").select("o_orderkey")
+    """Numbers far from the others of their vendor and shape."""
+    number = F.col("invoice_number.value")
+    rows = _t(spark, d, "extracted_invoices").select("invoice_id", F.col("vendor_name.value").alias("vendor"), shapes.value_shape(number).alias("shape"), shapes.digit_run(number).alias("run"))
+    return grouping.outliers(rows.where("run IS NOT NULL AND vendor IS NOT NULL"), ["vendor", "shape"], "run").select("invoice_id")
 
 
 @query(
@@ -407,6 +434,14 @@ def natural_order(spark, d):
     return _t(spark, d, "invoice_register").select("row_id", shapes.natural_key(F.col("invoice_no")).alias("key"))
 
 
+@query(
+    r"select row_id, array_to_string(list_transform(regexp_extract_all(upper(coalesce(invoice_no, '')), '[0-9]+|[^0-9]+'), lambda r: case when regexp_matches(r, '^[0-9]') then lpad(r, 20, '0') else r end), '') as key from invoice_register order by key, row_id limit 300"
+)
+def first_rows(spark, d):
+    """The first 300 rows of the register in natural order of their numbers: the part of a long table that is shown."""
+    return pages_of.visible(natural_order(spark, d), ["key", "row_id"], 0, 300)
+
+
 # ---------------------------------------------------------------- detection
 
 
@@ -420,15 +455,24 @@ def detected_numbers(spark, d):
 @query()
 def bundle_groups(spark, d):
     """Pages of bundles grouped into invoices by the numbers detected on them."""
-    p = pages(spark, d).withColumn("number", detect.best(detect.candidates(F.col("text"))))
+    p = detect.analyze(sheets(spark, d).select("doc_id", "page_index", "text", F.lit(False).alias("ocr")))
     grouped = grouping.by_number(p.select("doc_id", "page_index", "number"), ["doc_id"], ["page_index"], "number")
     return grouping.groups(grouped, ["doc_id"], "page_index", "number")
 
 
-@query("select doc_id, profile from (select doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) t from documents where text is not null) d, (select unnest(['electrical', 'foods', 'textiles', 'spedition', 'vervoer']) profile) p where contains(t, profile) or contains(t, concat(profile, ' account'))")
+#: Invented profiles of three lines each.
+PROFILES = [("electrical", ["electrical", "invoice", "customer"]), ("foods", ["foods", "bill to", "subtotal"]), ("textiles", ["textiles", "due", "vat 19%"]), ("spedition", ["spedition", "gmbh", "rechnung"]), ("vervoer", ["vervoer", "b.v.", "order"])]
+_PROFILES = ", ".join(f"('{p}', ['" + "', '".join(lines) + "'])" for p, lines in PROFILES)
+
+
+@query(
+    rf"with p as (select * from (values {_PROFILES}) v(profile, lines)), d as (select doc_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) t from documents where text is not null), s as (select doc_id, profile, list_transform(lines, lambda l: contains(t, l) or (l = 'bill to' and contains(t, 'bill')) or (l = 'vat 19%' and contains(t, 'vat'))) hit from d, p)"
+    " select doc_id, profile from s where hit[1] or len(list_filter(hit, lambda h: h)) * 2 > 3"
+)
 def profile_pages(spark, d):
-    names = spark.createDataFrame([(p, [p, f"{p} account"]) for p in ("electrical", "foods", "textiles", "spedition", "vervoer")], "profile string, lines array<string>")
-    return detect.match_profiles(_t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), names).select("doc_id", "profile")
+    """Documents with the profiles that claim them. (Words of two letters don't count, so of two lines a word is enough.)"""
+    known_profiles = spark.createDataFrame(PROFILES, "profile string, lines array<string>")
+    return profiles.match_profiles(_t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), known_profiles).select("doc_id", "profile")
 
 
 @query(f"select doc_id, regexp_replace(coalesce(text, ''), '[{S.W}]', '', 'g') = '' as blank, length(regexp_replace(coalesce(text, ''), '[\\s\\x{{00a0}}\\x0b]', '', 'g')) as readable from documents")
@@ -485,7 +529,33 @@ def stale_documents(spark, d):
 
 @query("select user_id, event_type, min(ts) as ts from events group by 1, 2")
 def first_events(spark, d):
-    return _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"))
+    return streaming.first_seen(_t(spark, d, "events"), ["user_id", "event_type"], "ts")
+
+
+_JOB = "case when status in ('queued', 'processing') and coalesce(attempts, 0) >= 3 then 'failed' when status in ('queued', 'processing') then 'processing' else status end"
+
+
+@query(f"select doc_id, {_JOB} as status, case when ({_JOB}) = 'processing' then coalesce(attempts, 0) + 1 else attempts end as attempts from documents")
+def jobs_claimed(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "status", "attempts", "updated", "error")
+    return queue.claim(docs, "2026-10-13 00:00:00").select("doc_id", "status", "attempts")
+
+
+@query("select doc_id, least(30, pow(2, least(attempts, 10)))::int as wait from documents where attempts is not null")
+def retry_waits(spark, d):
+    return _t(spark, d, "documents").where("attempts IS NOT NULL").select("doc_id", queue.wait_seconds(F.col("attempts")).alias("wait"))
+
+
+@query("select doc_id from documents where created >= timestamp '2026-10-13 00:00:00' - interval 90 days or created is null")
+def documents_retained(spark, d):
+    return queue.retained(_t(spark, d, "documents"), "2026-10-13 00:00:00", 90).select("doc_id")
+
+
+@query("select doc_id from documents order by case kind when 'pdf' then 1 else 0 end, created, doc_id limit 50")
+def next_work(spark, d):
+    """The next 50 documents of a queue in which pictures go first."""
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("kind") == "pdf", "document").otherwise("ocr").alias("kind"), "created")
+    return queue.pop(docs, 50).select("doc_id")
 
 
 # ---------------------------------------------------------------- strict readings of documents
@@ -519,19 +589,88 @@ def date_orders(spark, d):
     return votes.groupBy("file_id").agg(F.min("vote").alias("date_order"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+@query("select invoice_id, currency.value as seen, list_sort(list_distinct(list_filter([case when contains(upper(coalesce(currency.value, '')), c) then c end for c in ['EUR', 'USD', 'GBP', 'CHF', 'PLN']], lambda x: x is not null))) as currencies from extracted_invoices")
+def currencies_named(spark, d):
+    return _t(spark, d, "extracted_invoices").select("invoice_id", F.col("currency.value").alias("seen"), documents.currencies(F.col("currency.value")).alias("currencies"))
+
+
 @query(
-    f"with {_EVENTS}, b as (select *, last_value(number ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) prev, row_number() over (partition by user_id order by ts, event_id) rn from e),"
-    " g as (select *, sum(case when rn = 1 or (number is not null and number is distinct from prev) then 1 else 0 end) over (partition by user_id order by ts, event_id)::bigint group_no from b),"
-    " h as (select user_id, group_no, min(event_id) first_page, count(*) pages, arg_min(number, event_id) filter (number is not null) number from g group by user_id, group_no)"
-    " select user_id, number, min(group_no) as group_no, min(first_page) as first_page, sum(pages)::bigint as pages from h group by user_id, number, case when number is null then group_no end"
+    r"""with t as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\s\x{00a0}\x0b]+', '', 'g') s from documents), n as (select doc_id, t, length(s) n, length(s) - length(regexp_replace(s, '[\p{Cc}\p{Co}\x{fffd}]', '', 'g')) odd, length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) alnum from t)
+    select doc_id, case when n < 20 then 'no_text' when odd > n * 0.02 or alnum < n * 0.5 or not regexp_matches(t, '\p{L}{3}') then 'garbled' end as reason from n"""
 )
-def combined_groups(spark, d):
-    return grouping.combine_by_number(page_groups(spark, d), ["user_id"]).select("user_id", "number", "group_no", "first_page", "pages")
+def text_trusted(spark, d):
+    return _t(spark, d, "documents").select("doc_id", documents.text_trust(F.col("text")).alias("reason"))
 
 
-@query("select invoice_id, currency.value as seen, list_sort(list_distinct(list_filter([case when contains(upper(coalesce(currency.value, '')), c) then c end for c in ['EUR', 'USD', 'GBP', 'CHF', 'PLN']], lambda x: x is not null))) as currencies from extracted_invoices")
-def currencies_named(spark, d):
-    return _t(spark, d, "extracted_invoices").select("invoice_id", F.col("currency.value").alias("seen"), documents.currencies(F.col("currency.value")).alias("currencies"))
+@query("select doc_id, case when regexp_matches(lower(error), 'password|encrypted') then 'password' when regexp_matches(lower(error), 'invalid pdf|damaged|corrupt|xref|bad zip') then 'damaged' when regexp_matches(lower(error), 'not found|no such file') then 'missing' when regexp_matches(lower(error), 'out of memory|allocation') then 'memory' when regexp_matches(lower(error), 'network|fetch|timed out|timeout') then 'network' else 'other' end as kind from documents where error is not null")
+def error_kinds(spark, d):
+    return _t(spark, d, "documents").where("error IS NOT NULL").select("doc_id", pages_of.error_kind(F.col("error")).alias("kind"))
+
+
+@query("with r as (select row_id, " + S.match_key("invoice_no") + " key from invoice_register), g as (select *, row_number() over (partition by key order by row_id) place, count(*) over (partition by key) members from r where key <> '') select key, row_id, place, members from g where members > 1")
+def key_members(spark, d):
+    """Members of every key that several rows of the register have, numbered."""
+    return reconcile.key_members(_rows(spark, d).withColumn("name", F.col("row_id")), "key", "name", "row_id").select("key", F.col("name").alias("row_id"), "place", "members")
+
+
+@query("with r as (select " + S.match_key("invoice_no") + " key, row_id, customer from invoice_register where trim(customer) <> '') select key, arg_min(customer, row_id) as customer from r where key <> '' group by key")
+def customers_of_keys(spark, d):
+    rows = _t(spark, d, "invoice_register").select("row_id", "customer", keys.match_key(F.col("invoice_no")).alias("key"))
+    return reconcile.customers_of(rows, "key", "customer", "row_id")
+
+
+@query("with r as (select " + S.known("invoice_no") + " number, row_id, supplier, po_number from invoice_register) select number, arg_min(struct_pack(s := supplier), row_id).s as client, arg_min(struct_pack(s := po_number), row_id).s as po from r where number <> '' group by number")
+def known_list(spark, d):
+    """The list of known numbers made from a register: each number once, with the client and order of its first row."""
+    rows = _t(spark, d, "invoice_register").select(F.col("invoice_no").alias("number"), F.col("supplier").alias("client"), F.col("po_number").alias("po"), "row_id")
+    return known.build(rows, "row_id")
+
+
+@query("select vendor_name.value as client, lower(status) as status, count(*) as n from extracted_invoices group by all")
+def client_facets(spark, d):
+    return _t(spark, d, "extracted_invoices").groupBy(F.col("vendor_name.value").alias("client"), F.lower("status").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "select row_id, concat(case when a < 0 then '-' else '' end, case c when 'USD' then '$' when 'EUR' then '€' when 'GBP' then '£' when 'CHF' then 'CHF ' else '' end, format('{:,.2f}', abs(a)::double)) as text from (select row_id, "
+    + S.money("amount") + " a, " + S.currency("amount") + " c from invoice_register) where a is not null"
+)
+def amounts_for_people(spark, d):
+    rows = _t(spark, d, "invoice_register").select("row_id", money.parse_money(F.col("amount")).alias("a"), money.currency_of(F.col("amount")).alias("c")).where("a IS NOT NULL")
+    return rows.select("row_id", reconcile.format_money(F.col("a"), F.col("c")).alias("text"))
+
+
+@query()
+def invoice_fields(spark, d):
+    """Total, dates, terms, order and customer of every document, behind their labels."""
+    return fields.read_fields(_t(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query()
+def invoices_extracted(spark, d):
+    """The invoice that tables, labels and places say, of every document."""
+    out = extraction.read_documents(_t(spark, d, "documents").select("doc_id", "text"), dollar="USD")
+    return out.select("doc_id", *[F.col(f"invoice.{f}").alias(f) for f in extraction.FIELDS], F.size("invoice.items").alias("items"), F.size("invoice.taxes").alias("taxes"), F.array_join("invoice.notes", "; ").alias("notes"))
+
+
+@query()
+def verified_groups(spark, d):
+    """Groups of every document's sheets, checked against the numbers of the register: invoice, flags, suggestion."""
+    s = sheets(spark, d).withColumn("number", F.upper("number"))
+    found = grouping.by_number(s, ["doc_id"], ["page_index"], "number").withColumn("page_of", shapes.page_marker(F.col("text")))
+    named = found.withColumn("source", F.when(F.col("number").isNotNull(), "common")).withColumn("blank", F.trim("text") == "").withColumn("file_name", F.col("doc_id").cast("string"))
+    out = checks.verify_groups(named, ["doc_id"], _t(spark, d, "invoice_register").select(F.col("invoice_no").alias("number")))
+    return out.withColumn("flags", F.array_join("flags", " "))
+
+
+@query()
+def summary_rows(spark, d):
+    """Every invoice of the register and the extraction as one row of the summary."""
+    x = _t(spark, d, "extracted_invoices")
+    docs = x.select(F.col("invoice_id").alias("doc_id"), F.col("vendor_name.value").alias("customer"), F.col("total_due.value").try_cast("decimal(20,2)").alias("doc_total"), F.col("currency.value").alias("doc_currency"), F.col("invoice_date.value").try_cast("date").alias("doc_issued"), F.col("due_date.value").try_cast("date").alias("doc_due"))
+    rows = _t(spark, d, "invoice_register").select("row_id", F.col("customer").alias("sheet_customer"), F.col("amount").alias("sheet_amount"), F.col("invoice_date").alias("sheet_date"), F.col("status").alias("sheet_status"))
+    paired = reconcile.reconcile(_items(spark, d), _rows(spark, d)).where("status <> 'unreadable'").select("doc_id", "row_id")
+    return summary.summary_rows(paired.join(docs, "doc_id", "left").join(rows, "row_id", "left"), TODAY).withColumn("notes", F.array_join("notes", "; "))
 
 
 @query("select doc_id, min(doc_id) over (partition by lower(vendor)) < doc_id as seen_before from documents where vendor is not null")
@@ -561,7 +700,7 @@ def page_order_problems(spark, d):
 
 @query(
     f"with r as (select vendor_name.value vendor, {S.shape('invoice_number.value')} s, regexp_extract(upper(invoice_number.value), '^[A-Z]+') p from extracted_invoices where invoice_number.value <> ''), g as (select vendor, s, count(*) n, min(p) lo, max(p) hi from r group by vendor, s)"
-    " select vendor, sum(n)::bigint as n, array_to_string(list(s order by n desc, s)[1:5], '|') as shapes, case when sum(n) >= 2 and min(lo) = max(hi) then nullif(min(lo), '') end as prefix from g group by vendor"
+    " select vendor, sum(n)::bigint as n, array_to_string(list(s order by n desc, s), '|') as shapes, case when sum(n) >= 2 and min(lo) = max(hi) then nullif(min(lo), '') end as prefix from g group by vendor"
 )
 def learned_shapes(spark, d):
     rows = _t(spark, d, "extracted_invoices").select(F.col("vendor_name.value").alias("vendor"), F.col("invoice_number.value").alias("number"))
@@ -577,10 +716,13 @@ def letterhead_lines(spark, d):
     return verify.letterheads(docs, "vendor", "doc_id", "text")
 
 
+_LINE = r"regexp_extract_all(text, '(?im)^[ \t]*{0}[ \t]*:?[ \t]+([^\r\n]+)$', 1)[{1}]"
+_READ = ", ".join(f"{_LINE.format(verify.LABELS[f], -1 if f == 'total' else 1)} {f}" for f in ("total", "date", "due", "po"))
+
+
 @query(
-    r"""with f as (select doc_id, regexp_extract_all(text, '(?im)^[ \t]*(?:total due|amount due|balance to pay|balance due|grand total|total)[ \t]*:?[ \t]+([^\r\n]+)$', 1)[-1] t, regexp_extract_all(text, '(?im)^[ \t]*(?:purchase order|po number|your order|order no\.?)[ \t]*:?[ \t]+([^\r\n]+)$', 1)[1] po from (select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents where doc_type = 'invoice' and text is not null)) select doc_id, cast("""
-    + S.money("t") + " as double) as total, po from f"
+    f"with f as (select doc_id, {_READ} from (select doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') as text from documents where text is not null)) select doc_id, cast({S.money('total')} as double) as total, {S.currency('total')} as currency, date as issued, due, po from f"
 )
 def fields_read(spark, d):
-    docs = _t(spark, d, "documents").where("doc_type = 'invoice' AND text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
-    return verify.read_fields(docs).select("doc_id", F.col("total").cast("double").alias("total"), "po")
+    docs = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+    return verify.read_fields(docs).select("doc_id", F.col("total").cast("double").alias("total"), "currency", "issued", "due", "po")

@@ -13,14 +13,14 @@ HOT_SHARE = 1 / 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset one of our own, on one machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
         named = sc.getCheckpointDir()
-        if not named:
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-            named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -54,10 +54,6 @@ def join_checked(rows: DataFrame, small: DataFrame, key: str, how: str = "inner"
     return rows.join(F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small.hint("merge"), key, how)
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
-
 def ranked(df: DataFrame, keys: list[str], order: str, name: str = "rank", chunk: int = 100_000) -> DataFrame:
     """Adds each row's number, from 1, within its key by a whole-number ``order`` column (no null).
 

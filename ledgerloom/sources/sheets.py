@@ -20,19 +20,21 @@ from pyspark.sql import functions as F
 HEADER_ROWS = 10
 CELLS = "path string, sheet string, sheet_row int, cells array<string>"
 
-# Headings of the fields, in order of priority, in several languages.
-HEADINGS = {
-    "invoice": r"\b(invoice|inv|rechnung|facture|factura|fattura|bill)\b.*\b(no|nr|num|number|id|#)|^\s*(invoice|rechnung|facture|factura|fattura)\s*(no\.?|#)?\s*$",
-    "po": r"\bpo\b|purchase\s*order|bestell",
-    "due": r"\bdue\b|f[äa]llig|[ée]ch[ée]ance|vencimiento|scadenza",
-    "date": r"\bdate\b|datum|fecha|data",
-    "amount": r"amount|total|betrag|montant|importe|importo",
-    "currency": r"currency|w[äa]hrung|devise|moneda|valuta",
-    "terms": r"terms|zahlungsziel|conditions",
-    "customer": r"customer|client|kunde|cliente|bill\s*to",
-    "supplier": r"supplier|vendor|lieferant|fournisseur|proveedor|fornitore",
-    "status": r"status|state",
-}
+# Words in headings, the fields in the order in which they are tried.
+INVOICE_WORDS = ("invoice", "inv", "bill", "document", "doc")
+AMOUNT_WORDS = ("amount", "amnt", "amt", "total", "balance", "value", "sum", "gross", "betrag", "montant", "importe", "bedrag")
+DATE_WORDS = ("date", "dt")
+FIELD_WORDS = {
+    "amount": AMOUNT_WORDS,
+    "due": ("due*", "fällig*", "échéance*", "vencimiento*", "vervaldatum*"),
+    "date": ("date*", "datum*", "fecha*", "data", "issued*"),
+    "terms": ("terms*", "condition*", "zahlungsziel*"),
+    "customer": ("customer*", "cust", "client*", "bill to", "account*", "company*", "kunde*", "debtor*", "buyer*", "name"),
+    "status": ("status*", "paid*", "state", "settled*"),
+    "currency": ("currency*", "ccy", "curr", "währung*", "devise*", "moneda*"),
+    "supplier": ("supplier*", "vendor*", "lieferant*", "fournisseur*", "proveedor*", "fornitore*"),
+    "po": ("po", "p o", "purchase order*", "order no", "order number", "order #", "order ref*", "bestell*"),
+}
 
 
 def delimiter_of(text: str) -> str:
@@ -107,35 +109,93 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_read, CELLS)
 
 
+def heading_words(heading: str) -> str:
+    """A heading as words in small letters: 'PONum' is 'po num', 'Inv_Amount' is 'inv amount'."""
+    out = ""
+    for i, c in enumerate(heading or ""):
+        before, after = heading[i - 1 : i], heading[i + 1 : i + 2]
+        starts = c.isupper() and i and ((before.islower() or before.isdigit()) or (before.isupper() and after.islower()))
+        out += (" " if starts else "") + (" " if c in "_." else c)
+    return " ".join(out.lower().split())
+
+
+def _says(words: str, wanted: tuple[str, ...]) -> bool:
+    """Whether a heading has one of some words or phrases; those with * may go on."""
+    return any(re.search(rf"(?<!\w){re.escape(w.rstrip('*'))}" + ("" if w.endswith("*") else r"(?!\w)"), words) for w in wanted)
+
+
+def letters_of(column: int) -> str:
+    """A for 0, AA for 26."""
+    name, n = "", column + 1
+    while n:
+        n, rest = divmod(n - 1, 26)
+        name = chr(65 + rest) + name
+    return name
+
+
+def headers_of(row: list[str], width: int) -> list[str]:
+    """A name for each column: its heading, or 'Column C' without one."""
+    return [(row[i].strip() if i < len(row) else "") or f"Column {letters_of(i)}" for i in range(width)]
+
+
 def guess_layout(rows: list[list[str]]) -> dict | None:
-    """{header: index of the header row, columns: {field: column}} from a sheet's first rows, None without an invoice column."""
-    best: tuple[int, int, dict] | None = None
-    for i, row in enumerate(rows[:HEADER_ROWS]):
-        columns: dict[str, int] = {}
-        words = [re.sub(r"[_\-]+", " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", c)).strip().lower() for c in row]
-        for field, pattern in HEADINGS.items():
-            hit = next((k for k, w in enumerate(words) if w and k not in columns.values() and re.search(pattern, w)), None)
-            if hit is not None:
-                columns[field] = hit
-        if "invoice" in columns and (best is None or len(columns) > best[0]):
-            best = (len(columns), i, columns)
-    return {"header": best[1], "columns": best[2]} if best else None
+    """{header: index of the header row, columns: {field: column}} from a sheet's first rows.
+
+    The header is the first of HEADER_ROWS rows with a column for the invoice's number: a heading that names the invoice but not
+    its amount or date. Each other column is the first field, in order, that its heading names and no column before it has.
+    Without such a row the column of most numbers with a digit, each once, is taken, without a header; None for an empty sheet.
+    """
+    for at, row in enumerate(rows[:HEADER_ROWS]):
+        words = [heading_words(c) for c in row]
+        own = next((k for k, w in enumerate(words) if _says(w, INVOICE_WORDS) and not _says(w, AMOUNT_WORDS) and not _says(w, DATE_WORDS)), None)
+        if own is None:
+            continue
+        columns = {"invoice": own}
+        for k, w in enumerate(words):
+            name = next((f for f, wanted in FIELD_WORDS.items() if f not in columns and _says(w, wanted)), None) if k != own and w else None
+            if name:
+                columns[name] = k
+        return {"header": at, "columns": columns}
+    width = max(map(len, rows), default=0)
+    column = lambda k: [r[k].strip() for r in rows if k < len(r) and r[k].strip()]
+    number_like = lambda k: len({v for v in column(k) if any(c.isdigit() for c in v) and len(v) <= 40 and "  " not in v})
+    best = max(range(width), key=lambda k: (number_like(k), -k), default=None)
+    return {"header": -1, "columns": {"invoice": best}} if best is not None and number_like(best) else None
 
 
 def entries(cells: DataFrame, layout: dict) -> DataFrame:
-    """Rows below the header with a column per field; rows without an invoice number are left out."""
-    pick = [F.try_element_at("cells", F.lit(c + 1)).alias(f) for f, c in layout["columns"].items()]
+    """Rows below the header with a column per field; rows without an invoice number are left out (``entry_problems`` counts
+    them)."""
+    pick = [F.trim(F.coalesce(F.try_element_at("cells", F.lit(c + 1)), F.lit(""))).alias(f) for f, c in layout["columns"].items()]
     w = F.col("sheet_row") > layout["header_row"]
-    return cells.where(w).select("path", "sheet", "sheet_row", *pick).where("trim(coalesce(invoice, '')) <> ''")
+    return cells.where(w).select("path", "sheet", "sheet_row", *pick).where("invoice <> ''")
+
+
+def entry_problems(cells: DataFrame, layout: dict) -> DataFrame:
+    """(path, sheet, entries, blank, problem) of each sheet: rows with a number, rows without one that aren't empty, and
+    ``empty`` or ``few digits`` (in less than half of the numbers) where the column doesn't look right."""
+    number = F.trim(F.coalesce(F.try_element_at("cells", F.lit(layout["columns"]["invoice"] + 1)), F.lit("")))
+    rows = cells.where(F.col("sheet_row") > layout["header_row"]).where(F.exists("cells", lambda c: F.trim(c) != ""))
+    out = rows.groupBy("path", "sheet").agg(F.count_if(number != "").alias("entries"), F.count_if(number == "").alias("blank"), F.count_if(number.rlike("[0-9]")).alias("_d"))
+    return out.withColumn("problem", F.when(F.col("entries") == 0, "empty").when(F.col("_d") * 2 < F.col("entries"), "few digits")).drop("_d")
 
 
 def kind_of(content):
     """pdf, png, jpeg or null from a file's first bytes (a PDF may start within the first kilobyte)."""
-    head = F.hex(F.substring(content, 1, 1024))
-    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.contains("255044462D"), "pdf")
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")  # one character for each byte
+    png, jpeg = "\x89PNG\r\n\x1a\n", "\xff\xd8\xff"
+    return F.when(head.startswith(png), "png").when(head.startswith(jpeg), "jpeg").when(head.contains("%PDF-"), "pdf")
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, kind, sha256) of a dropped folder, each distinct path and size once; empty files aren't listed."""
+    """(path, length, kind, sha256) of a dropped folder, each distinct path and size once; empty files aren't listed. Kind and
+    hash are taken where a file is read, so no file's bytes are shuffled."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.dropDuplicates(["path", "length"]).select("path", "length", kind_of(F.col("content")).alias("kind"), F.sha2("content", 256).alias("sha256"))
+    known = files.select("path", "length", kind_of(F.col("content")).alias("kind"), F.sha2("content", 256).alias("sha256"))
+    return known.dropDuplicates(["path", "length"])
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, kind, labels MAP, line_items) of a labels manifest, one JSON object a line."""
+    schema = "file string, split string, kind string, labels map<string,string>, line_items array<struct<description string, quantity string, unit_price string, line_total string>>"
+    return spark.read.schema(schema).json(path)

@@ -36,21 +36,9 @@ def stale(jobs: DataFrame, updated: str, now: str, seconds: int) -> DataFrame:
     return jobs.where(F.col(updated) < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {2 * seconds} SECONDS"))
 
 
-def first_seen(events: DataFrame, keys: list[str], value: str):
-    """On a stream: emit a row the first time its keys are seen, with state per key and a time-out (processing time)."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    schema = ", ".join(f"{k} {dict(events.dtypes)[k]}" for k in keys) + f", {value} {dict(events.dtypes)[value]}"
-
-    def run(key, frames, state: GroupState):
-        seen = state.exists
-        best = state.get[0] if seen else None
-        for pdf in frames:
-            low = pdf[value].min()
-            best = low if best is None or low < best else best
-        state.update((int(best),))
-        if not seen:
-            yield pd.DataFrame([[*key, int(best)]], columns=[*keys, value])
-
-    return events.groupBy(*keys).applyInPandasWithState(run, schema, "first long", "append", GroupStateTimeout.NoTimeout)
+def first_seen(events: DataFrame, keys: list[str], value: str, late: str = "1 hour") -> DataFrame:
+    """Rows of a stream the first time their keys are seen, with their time ``value``. State of a key lasts until the watermark
+    passes it by ``late``, so it doesn't grow without end; in a batch each key's least value."""
+    if events.isStreaming:
+        return events.select(*keys, value).withWatermark(value, late).dropDuplicatesWithinWatermark(keys)
+    return events.groupBy(*keys).agg(F.min(value).alias(value))

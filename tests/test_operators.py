@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import detect, grouping, known, layout, reconcile, scoring, summary
+from ledgerloom.operators import detect, grouping, known, layout, profiles, reconcile, scoring, summary
 
 
 def rows(df, *order):
@@ -108,7 +108,7 @@ def test_zones_and_profiles(spark):
     assert [tuple(r) for r in detect.in_zone(spans, spark.createDataFrame([(1, 100.0, 100.0)], "page_id int, width double, height double"), zones).collect()] == [(1, "p", "No 77")]
     pages = spark.createDataFrame([(1, "ACME  Ltd\nx"), (2, "other"), (3, None)], "i int, text string")
     names = spark.createDataFrame([("acme", ["acme ltd", "zz"]), ("none", [])], "profile string, lines array<string>")
-    assert [(r.i, r.profile) for r in detect.match_profiles(pages, names).collect()] == [(1, "acme")]
+    assert [(r.i, r.profile) for r in profiles.match_profiles(pages, names).collect()] == [(1, "acme")]
 
 
 def test_layout(spark):

@@ -21,8 +21,9 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.table("counts").collect()} == want and len(want) == 8
     run(streaming.once(stream(), "user_id"), "once")
     assert spark.table("once").count() == 2
-    run(streaming.first_seen(stream(), ["user_id"], "event_id"), "first")
-    assert {tuple(r) for r in spark.table("first").collect()} == {(1, 1), (2, 0)}
+    run(streaming.first_seen(stream(), ["user_id"], "ts"), "first")
+    assert sorted(r.user_id for r in spark.table("first").collect()) == [1, 2]
+    assert {(r.user_id, r.ts.minute) for r in streaming.first_seen(df, ["user_id"], "ts").collect()} == {(1, 1), (2, 0)}
 
 
 def test_rate_limit(spark):
