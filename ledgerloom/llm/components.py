@@ -18,10 +18,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialise(both, "cc-edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "cc")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("new"), F.col("component").alias("old"))
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        lower = labels.join(near.withColumnRenamed("a", "node").hint("merge"), "node").select("node", F.least("component", "m").alias("new"), F.col("component").alias("old"))
         lower = materialise(lower, "cc")
         if lower.where("new <> old").isEmpty():
             return lower.select("node", F.col("new").alias("component"))
         jump = lower.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        labels = materialise(lower.join(jump, "new").select("node", F.col("next").alias("component")), "cc")
+        labels = materialise(lower.join(jump.hint("merge"), "new").select("node", F.col("next").alias("component")), "cc")

@@ -129,7 +129,7 @@ def probe(records: DataFrame, index: DataFrame) -> DataFrame:
     asked = records.select("node", "number", "form").mapInArrow(_keys(False, "segments"), ENTRIES)
     asked = asked.select(F.col("node").alias("b"), "number", F.col("form").alias("fb"), F.explode("segments").alias("segment"))
     stored = index.select(F.col("node").alias("a"), "number", F.col("form").alias("fa"), F.explode("segments").alias("segment"))
-    candidates = asked.join(stored, ["number", "segment"]).where("a < b").select("a", "b", "fa", "fb").distinct()
+    candidates = asked.join(stored.hint("merge"), ["number", "segment"]).where("a < b").select("a", "b", "fa", "fb").distinct()
     return candidates.mapInArrow(_verify, "a long, b long")
 
 
@@ -250,20 +250,20 @@ class SegmentIndex:
         own = materialise(rows.select("doc_id", F.nullif(F.trim("sha256"), F.lit("")).alias("sha256"), "number", "vendor").mapInArrow(_forms, "doc_id long, sha256 string, number string, form string"), "batch")
         there = own.agg(F.collect_set(self.bucket("sha256")), F.collect_set(F.when(F.col("form").isNotNull(), self.bucket("number")))).first()  # at most ``buckets`` numbers each
         content = own.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("own"))
-        content = materialise(content.join(self.table("content", there[0]), "sha256", "left"), "content")
+        content = materialise(content.join(self.table("content", there[0]).hint("merge"), "sha256", "left"), "content")
         records = materialise(own.where("form IS NOT NULL").groupBy("number", "form").agg(F.min("doc_id").alias("node")), "records")
-        near = materialise(self.table("entries", there[1]).join(records.select("number").distinct(), "number", "left_semi"), "near")
+        near = materialise(self.table("entries", there[1]).join(records.select("number").distinct().hint("merge"), "number", "left_semi"), "near")
         entries = materialise(index_entries(records), "entries")
-        by_content = own.join(content, "sha256").select(F.coalesce("first", "own").alias("a"), F.col("doc_id").alias("b"))
-        by_record = own.join(records, ["number", "form"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+        by_content = own.join(content.hint("merge"), "sha256").select(F.coalesce("first", "own").alias("a"), F.col("doc_id").alias("b"))
+        by_record = own.join(records.hint("merge"), ["number", "form"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
         links = materialise(by_content.unionByName(by_record).unionByName(probe(records, near.unionByName(entries))).where("a <> b").distinct(), "links")
         more = self._resolved(links.select(F.col("a").alias("node")))
         labels = connected_components(links if more is None else links.unionByName(more))  # a written table
-        firsts = materialise(own.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("first")), "firsts")
-        of = lambda c: firsts.select(F.col("doc_id").alias(c), F.col("first").alias("class"))
+        firsts = materialise(own.select("doc_id").join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("first")), "firsts")
+        of = lambda c: firsts.select(F.col("doc_id").alias(c), F.col("first").alias("class")).hint("merge")
         fresh = {
             "content": content.where("first IS NULL").join(of("own"), "own").select("sha256", F.col("class").alias("first")),
-            "entries": entries.join(near.select("number", "form"), ["number", "form"], "left_anti").join(of("node"), "node").select(F.col("class").alias("node"), "number", "form", "segments"),
+            "entries": entries.join(near.select("number", "form").hint("merge"), ["number", "form"], "left_anti").join(of("node"), "node").select(F.col("class").alias("node"), "number", "form", "segments"),
             "merged": labels.where("node <> component").join(of("node"), "node", "left_anti").select("node", F.col("component").alias("first")),
         }
         part = uuid.uuid4().hex
