@@ -94,6 +94,46 @@ def _fitting(measure, most_chars: int, limit: int, per_char: float) -> tuple[int
     return (low, found) if low else (1, measure(1))
 
 
+class Run:
+    """A run without white space: tokens of its parts, by sums over words where the tokenizer has any (no token reaches from one
+    into the next), else by encoding."""
+
+    def __init__(self, text: str, start: int, end: int, per_char: float, sizer: tokens.Sizer, size):
+        self.text, self.end, self.per_char, self.size = text, end, per_char, size
+        words = sizer.words(text[start:end]) if sizer.words else None
+        self.at = list(accumulate((n for n, _ in words), initial=start)) if words else []
+        self.sums = list(accumulate((n for _, n in words), initial=0)) if words else []
+        body = text[start:end]
+        lead = start + len(body) - len(body.lstrip())  # how white space is cut depends on what follows it
+        self.place = {p: i for i, p in enumerate(self.at) if p == start or p > lead}
+
+    def tokens(self, a: int, b: int) -> int:
+        i, j = self.place.get(a), self.place.get(b)
+        return self.size(self.text[a:b]) if i is None or j is None else self.sums[j] - self.sums[i]
+
+    def reach(self, at: int, limit: int, before: int = 0, later=None) -> tuple[int, int]:
+        """(end, tokens) of about the longest part from ``at`` within the limit, ``before`` tokens being used already."""
+        i = self.place.get(at)
+        if i is not None:
+            j = bisect_right(self.sums, self.sums[i] + limit - before) - 1
+            n = self.sums[j] - self.sums[i] + before
+            if j > i and self.at[j] in self.place and (self.at[j] == self.end or limit - n <= max(2, limit // 30)):
+                return self.at[j], n
+        measure = (lambda k: before + later(self.text[at : at + k])) if later else lambda k: self.tokens(at, at + k)
+        chars, n = _fitting(measure, self.end - at, limit, self.per_char)
+        self.per_char = max(0.01, (n - before) / chars)
+        return at + chars, n
+
+    def tail(self, low: int, end: int, most: int) -> int:
+        """Where the characters begin that end at ``end``, from ``low`` on, and have at most so many tokens."""
+        j = self.place.get(end)
+        if j is not None and most > 0:
+            i = bisect_left(self.sums, self.sums[j] - most)
+            if i < j and self.at[i] >= low and self.at[i] in self.place and most - self.sums[j] + self.sums[i] <= max(2, most // 30):
+                return self.at[i]
+        return _tail(self.text, low, end, most, self.per_char, self.size)[0]
+
+
 def _tail(text: str, low: int, end: int, most: int, per_char: float, size) -> tuple[int, int]:
     """Where the characters begin that end at ``end``, from ``low`` on, and have at most so many tokens, and their tokens."""
     if most <= 0 or end <= low:
@@ -102,46 +142,42 @@ def _tail(text: str, low: int, end: int, most: int, per_char: float, size) -> tu
     return (end - chars, n) if n <= most else (end, 0)  # one character alone can be more
 
 
-def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size, seed: tuple[int, int] | None = None, later=None) -> Iterator[tuple[int, int, int]]:
+def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in: int, size, sizer: tokens.Sizer, seed: tuple[int, int] | None = None, later=None) -> Iterator[tuple[int, int, int]]:
     """Cuts of a run without white space that has ``tokens_in`` tokens: (start, end, tokens) of pieces within the limit, each
     up to the last sentence end that fits, else the last other punctuation, else as many characters as fit. ``seed``: start
     and tokens of the overlap before the run, with which the first piece begins; ``later``: tokens of a piece behind it."""
-    per_char = max(0.01, tokens_in / (end - start))
+    run = Run(text, start, end, max(0.01, tokens_in / (end - start)), sizer, size)
     marks = [[m.end() for m in p.finditer(text, start, end)] for p in (_INNER_SENTENCE, _INNER_MARK)]
     at = done = start
     if seed and seed[0] < start:
-        first = lambda k: seed[1] + later(text[start : start + k])
-        chars, n = _fitting(first, end - start, limit, per_char)
+        low, n = run.reach(start, limit, seed[1], later)
         if n <= limit:
-            low = start + chars
             if low < end:
-                low, n = _behind_mark(text, marks, start, done, low, n, limit, lambda t: seed[1] + later(t))
+                low, n = _behind_mark(marks, done, low, n, limit, lambda p: seed[1] + (run.sums[run.place[p]] if p in run.place else later(text[start:p])))
             yield seed[0], low, n
             if low >= end:
                 return
-            at, done = _tail(text, seed[0] + 1, low, overlap, per_char, size)[0], low
+            at, done = run.tail(seed[0] + 1, low, overlap), low
     while True:
-        chars, n = _fitting(lambda k: size(text[at : at + k]), end - at, limit, per_char)
-        per_char = max(0.01, n / chars)
-        low = at + chars
+        low, n = run.reach(at, limit)
         if low <= done and at < done:  # nothing new fits behind the overlap
             at = done
             continue
         if low < end:
-            low, n = _behind_mark(text, marks, at, done, low, n, limit, size)
+            low, n = _behind_mark(marks, done, low, n, limit, lambda p: run.tokens(at, p))
         yield at, low, n
         if low >= end:
             return
-        at, done = _tail(text, at + 1, low, overlap, per_char, size)[0], low
+        at, done = run.tail(at + 1, low, overlap), low
 
 
-def _behind_mark(text: str, marks: list[list[int]], at: int, done: int, low: int, n: int, limit: int, size) -> tuple[int, int]:
-    """The best cut after ``done`` of a piece from ``at`` that may reach to ``low`` with n tokens: (cut, tokens)."""
+def _behind_mark(marks: list[list[int]], done: int, low: int, n: int, limit: int, tokens_to) -> tuple[int, int]:
+    """The best cut after ``done`` of a piece that may reach to ``low`` with n tokens: (cut, tokens)."""
     for places in marks:
         for i in range(bisect_right(places, low) - 1, bisect_right(places, done) - 1, -1):
             if places[i] == low:
                 return low, n
-            m = size(text[at : places[i]])
+            m = tokens_to(places[i])
             if m <= limit:  # a shorter text can have more tokens
                 return places[i], m
     return low, n
@@ -170,15 +206,14 @@ def _own(sizer: tokens.Sizer) -> tokens.Profile:
 
 
 @lru_cache(16)
-def _shared(folder: str, names: tuple[str, ...]) -> tokens.Profile:
+def shared_profile(folder: str, names: tuple[str, ...]) -> tokens.Profile:
     """One profile per worker: what it has seen serves its next tasks too."""
     return tokens.Profile([tokens.sizer(folder, n) for n in names], _marks)
 
 
-def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0, full: bool = False) -> list[tuple[int, int, int]]:
+def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text above the limit; [] for one within it. ``known``: the text's cut, where
-    it is there already, with the sizes by this tokenizer at position ``at``. ``full``: pieces end at whatever word fills them
-    best, not at the strongest separator."""
+    it is there already, with the sizes by this tokenizer at position ``at``."""
     if limit < 8:
         raise ValueError("a limit under 8 tokens is too small for any character")
     if not text:
@@ -229,12 +264,12 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
         begin, fresh, start, due = s, end, at, False
         more = n if inner else extra(s) if s < len(parts) else 0
 
-    for a, b in zip(range(len(parts)), range(1, len(parts) + 1)) if full else units(strong, prefix, fits):
+    for a, b in units(strong, prefix, fits):
         if prefix[b] - prefix[begin] + more > limit:
             close()
         if prefix[b] - prefix[begin] + more > limit and b - a == 1 and n[a] + extra(a) > fits:
             seed = (start, prefix[a] - prefix[begin] + more) if start < offset[a] else None
-            *cuts, (start, _, more) = _within(text, offset[a], offset[b], limit, overlap, n[a], whole, seed, lambda t: sum(map(sizer.later, sizer.cut(t))))
+            *cuts, (start, _, more) = _within(text, offset[a], offset[b], limit, overlap, n[a], whole, sizer, seed, lambda t: sum(map(sizer.later, sizer.cut(t))))
             out += cuts
             begin = end = fresh = b
             inner = due = True
@@ -247,6 +282,42 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
     return out
 
 
+def fill_text(text: str, limit: int, sizer: tokens.Sizer, parts: list[str], n: list[int]) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of parts of a text, each filled up to the last word that fits; ``parts`` and ``n``: its pieces with
+    their sizes. Only a run too long for a part of its own is cut inside, and its last cut is filled up with what follows."""
+    prefix, offset = [0, *accumulate(n)], [0, *accumulate(map(len, parts))]
+    whole = lambda s: sum(sizer(sizer.cut(s)))
+    out: list[tuple[int, int, int]] = []
+    at = 0
+    while at < len(parts):
+        more = 0 if sizer.alone is sizer.later else sizer.first(parts[at]) - n[at]
+        end = bisect_right(prefix, prefix[at] + limit - more) - 1
+        start = offset[at]
+        if end <= at:
+            *cuts, (start, _, more) = _within(text, offset[at], offset[at + 1], limit, 0, n[at], whole, sizer)
+            out += cuts
+            at += 1
+            end = bisect_right(prefix, prefix[at] + limit - more) - 1
+        out.append((start, offset[end], prefix[end] - prefix[at] + more))
+        at = end
+    return out
+
+
+def parts_of(text: str, profile: tokens.Profile, wanted: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """For each (tokenizer's place in the profile, limit, overlap) the pieces (start, end, tokens) of a text, itself where it is
+    within the limit. The text is cut and sized once for all."""
+    if not text:
+        return [[(0, 0, 0)] for _ in wanted]
+    known, odd = Cut(tokens.pieces(text), profile), "\r" in text  # the cuts of tokenizers differ in carriage returns only
+    out = []
+    for at, limit, overlap in wanted:
+        sizer = profile.sizers[at]
+        own = Cut(sizer.cut(text), _own(sizer)) if odd and sizer.cut is not tokens.pieces else None
+        found = split_text(text, limit, overlap, sizer, own or known, 0 if own else at)
+        out.append(found or [(0, len(text), sum((own or known).sizes[0 if own else at]))])
+    return out
+
+
 def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], key: str = "doc_id", text: str = "text", folder: str = tokens.TOKENIZERS) -> DataFrame:
     """(budget_id, key, piece_no, start, end, n_tokens, piece) for every text above a budget's limit.
 
@@ -256,9 +327,8 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
     schema = pa.schema([("budget_id", pa.int64()), (key, docs.select(key).limit(0).toArrow().schema.field(0).type), ("piece_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int32()), ("piece", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profile = _shared(folder, tuple(dict.fromkeys(n for _, n, _, _ in budgets)))
-        sizers = profile.sizers
-        makers = [(i, limit, overlap, sizers.index(tokens.sizer(folder, name))) for i, name, limit, overlap in budgets]
+        profile = shared_profile(folder, tuple(dict.fromkeys(n for _, n, _, _ in budgets)))
+        wanted = [(profile.sizers.index(tokens.sizer(folder, name)), limit, overlap) for _, name, limit, overlap in budgets]
         rows: list[tuple] = []
         held = 0
 
@@ -271,13 +341,11 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not t:
                     continue
-                known, odd = Cut(tokens.pieces(t), profile), "\r" in t  # the cuts of tokenizers differ in carriage returns only
-                for i, limit, overlap, at in makers:
-                    own = odd and sizers[at].cut is not tokens.pieces
-                    found = split_text(t, limit, overlap, sizers[at]) if own else split_text(t, limit, overlap, sizers[at], known, at)
-                    for no, (a, b, n) in enumerate(found, 1):
-                        rows.append((i, k, no, a, b, n, t[a:b]))
-                        held += b - a
+                for (i, _, limit, _), found in zip(budgets, parts_of(t, profile, wanted), strict=True):
+                    if len(found) > 1 or found[0][2] > limit:
+                        for no, (a, b, n) in enumerate(found, 1):
+                            rows.append((i, k, no, a, b, n, t[a:b]))
+                            held += b - a
                 if held > 4_000_000:
                     yield flush()
                     held = 0

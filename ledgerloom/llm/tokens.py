@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 #: Folder of the vocabulary files; a parameter of every operator here.
@@ -64,10 +65,11 @@ def byte_encoding(folder: str, name: str = "byte_bpe_50k"):
 
 class Sizer:
     """Token counts of one tokenizer. ``later``: of a piece inside a text; ``alone``: of one a text begins with; ``shaped``:
-    whether each digit is a token, whichever it is, so that pieces alike but for their digits have one size."""
+    whether each digit is a token, whichever it is, so that pieces alike but for their digits have one size; ``words``: cuts a
+    run without white space into strings that no token reaches across, with their sizes (None where it can't)."""
 
-    def __init__(self, later, alone=None, shaped: bool = False, cut=pieces):
-        self.later, self.alone, self.shaped, self.cut = later, alone or later, shaped, cut
+    def __init__(self, later, alone=None, shaped: bool = False, cut=pieces, words=None):
+        self.later, self.alone, self.shaped, self.cut, self.words = later, alone or later, shaped, cut, words
         shape = Memory(later)
         self._memory = Memory(lambda p: shape[digits_as_zero(p)]) if shaped else shape
         start = shape if self.alone is later else Memory(self.alone)
@@ -99,7 +101,7 @@ def byte_words():
 def _byte_sizer(folder: str, name: str) -> Sizer:
     encode, words = byte_encoding(folder, name)._core_bpe.encode_ordinary, byte_words()
     word = Memory(lambda w: len(encode(w)))
-    return Sizer(lambda p: sum(map(word.__getitem__, words(p))))
+    return Sizer(lambda p: sum(map(word.__getitem__, words(p))), words=lambda p: [(len(w), word[w]) for w in words(p)])
 
 
 def _word_sizer(folder: str, name: str) -> Sizer:
@@ -115,9 +117,15 @@ def _word_sizer(folder: str, name: str) -> Sizer:
         if p.isascii():
             # the four separators that Python, but not the tokenizer, takes for white space go the long way
             return sum(map(word.__getitem__, (words if _SEPARATOR(p) else ascii_words)(p.lower())))
-        return len(t.encode(p, add_special_tokens=False).ids)
+        # the tokenizer's own normal form: composed, each letter in small by itself (Python looks around a capital sigma)
+        return sum(map(word.__getitem__, words(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower())))
 
-    return Sizer(size, shaped=True)
+    def sized(p: str) -> list[tuple[int, int]] | None:
+        low = unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()
+        found = words(low)
+        return [(len(w), word[w]) for w in found] if len(low) == len(p) == sum(map(len, found)) else None
+
+    return Sizer(size, shaped=True, words=sized)
 
 
 def _sentence_sizer(folder: str, name: str) -> Sizer:
@@ -166,16 +174,17 @@ class Profile:
 
 def counts(folder: str, names: list[str], texts: list[str | None]) -> list[list[int]]:
     """Tokens of each text by each tokenizer; 0 for null and empty texts."""
-    profile = _profile(folder, tuple(names))
+    own = profile(folder, tuple(names))
     out: list[list[int]] = [[] for _ in names]
     for t in texts:
-        sizes = profile.columns(pieces(t))[0] if t else [[] for _ in names]
+        sizes = own.columns(pieces(t))[0] if t else [[] for _ in names]
         odd = "\r" in t if t else False
-        for i, (s, n) in enumerate(zip(profile.sizers, sizes, strict=True)):
+        for i, (s, n) in enumerate(zip(own.sizers, sizes, strict=True)):
             out[i].append(sum(s(s.cut(t)) if odd and s.cut is not pieces else n))  # the cuts differ in carriage returns only
     return out
 
 
 @lru_cache(16)
-def _profile(folder: str, names: tuple[str, ...]) -> Profile:
+def profile(folder: str, names: tuple[str, ...]) -> Profile:
+    """One profile per worker, kept between its tasks."""
     return Profile([sizer(folder, n) for n in names])
