@@ -538,5 +538,6 @@ def invoices(text: Column | None = None, words: Column | None = None, dollar: st
 
 
 def read_documents(docs: DataFrame, text: str = "text", dollar: str | None = None) -> DataFrame:
-    """Adds ``invoice``, as ``invoices`` reads it."""
-    return docs.withColumn("invoice", invoices(F.col(text), dollar=dollar))
+    """Adds ``invoice``, as ``invoices`` reads it. Reading costs much more than moving a text, so texts are dealt over tasks of
+    about as many bytes each first."""
+    return docs.hint("rebalance").withColumn("invoice", invoices(F.col(text), dollar=dollar))
