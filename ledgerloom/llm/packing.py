@@ -5,9 +5,9 @@ items of their own, and no other item is split. Items are dealt by hash into sha
 memory and time of a task are bounded whatever the corpus. Each shard is evolved on ISLANDS islands. A chromosome is a list of
 containers; crossover puts the best-filled containers of one parent whole into the other, removes the containers that hold an
 item twice, and gives the items displaced by that to the fullest container they fit (best fit decreasing). Fitness is the mean
-of squared fills. An island goes on until its best packing has as few containers as the sizes allow, or STALL crossovers in a
-row have improved nothing (MOST at most). Between rounds each island's elite moves to the next island of the ring, by a
-shuffle. What lies in badly filled containers at the end is dealt anew into shards of their own and packed once more.
+of squared fills. An island makes CROSSOVERS crossovers in each round, whether they improve anything or not; it ends before
+that only where its best packing has as few containers as the sizes allow. Between rounds each island's elite moves to the next
+island of the ring, by a shuffle. What lies in badly filled containers at the end is dealt anew into shards of their own and packed once more.
 
 Defined results: each row of the input is placed exactly once (a split one once per part, with the characters it holds);
 null and empty texts have size 0 and take part as items without weight; repeated rows are items of their own; an empty table
@@ -19,7 +19,9 @@ from __future__ import annotations
 import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import splitting, tokens
 from ledgerloom.runtime import materialise
 
-SHARD, ISLANDS, POPULATION, STALL, MOST = 2048, 2, 3, 2, 24
+SHARD, ISLANDS, POPULATION, CROSSOVERS = 2048, 2, 4, 40
 #: Containers filled less than this are opened again and packed across shards.
 GOOD = 0.97
 
@@ -62,24 +64,79 @@ class Bins:
 
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    return Shard(sizes, capacity).fitness(Shard(sizes, capacity).packing(_labels(bins, len(sizes))))
+
+
+class Packing(NamedTuple):
+    """A chromosome: the container of each item, and what each container holds."""
+
+    labels: np.ndarray
+    loads: np.ndarray
+
+
+class Shard:
+    """Items of one search. Packings of it are numbered by size, the largest item first."""
+
+    def __init__(self, sizes: list[int], capacity: int):
+        given = np.asarray(sizes, np.int64)
+        self.order, self.capacity = np.argsort(-given, kind="stable"), capacity
+        self.sizes = given[self.order]
+        self._list = self.sizes.tolist()
+
+    def packing(self, labels: list[int]) -> Packing:
+        """That of a list of containers by item as given; empty containers go."""
+        found, mine = np.unique(np.asarray(labels, np.int64)[self.order], return_inverse=True)
+        return Packing(mine, np.bincount(mine, self.sizes, len(found)).astype(np.int64))
+
+    def labels(self, packing: Packing) -> list[int]:
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = packing.labels
+        return out.tolist()
+
+    def fitness(self, packing: Packing) -> float:
+        return float(np.square(packing.loads / self.capacity).sum()) / max(1, len(packing.loads))
+
+    def crossover(self, a: Packing, b: Packing, rng: random.Random) -> Packing:
+        """A child of ``a`` with well-filled containers of ``b`` injected whole."""
+        best = np.argsort(-b.loads, kind="stable")[: rng.randint(1, max(1, len(b.loads) // 2))]
+        to = np.full(len(b.loads), -1)
+        to[best] = np.arange(len(best))
+        labels = to[b.labels]
+        taken = labels >= 0
+        keep = np.ones(len(a.loads), bool)
+        keep[a.labels[taken]] = False
+        to = np.where(keep, len(best) + np.cumsum(keep) - 1, -1)
+        labels = np.where(taken, labels, to[a.labels])
+        loads = np.concatenate([b.loads[best], a.loads[keep]])
+        displaced = np.flatnonzero(labels < 0)  # the largest first
+        if len(displaced):
+            self._place(displaced.tolist(), labels, loads := loads.tolist())
+        return Packing(labels, np.asarray(loads, np.int64))
+
+    def _place(self, items: list[int], labels: np.ndarray, loads: list[int]) -> None:
+        """Best fit decreasing into containers that may hold something already."""
+        width, least = len(loads) + len(items), self._list[items[-1]]
+        free = sorted([(self.capacity - load) * width + k for k, load in enumerate(loads) if self.capacity - load >= least])
+        found = []
+        for i in items:
+            size = self._list[i]
+            at = bisect_left(free, size * width)
+            if at == len(free):
+                k = len(loads)
+                loads.append(size)
+            else:
+                k = free.pop(at) % width
+                loads[k] += size
+            if self.capacity - loads[k] >= least:
+                insort(free, (self.capacity - loads[k]) * width + k)
+            found.append(k)
+        labels[items] = found
 
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """A child of ``a`` with well-filled containers of ``b`` injected whole."""
-    fill = sorted(((sum(sizes[i] for i in g), k) for k, g in enumerate(b)), reverse=True)
-    take = [b[k] for _, k in fill[: rng.randint(1, max(1, len(b) // 2))]]
-    taken = {i for g in take for i in g}
-    child = Bins(sizes, capacity)
-    displaced = []
-    for g in take:
-        child.add(list(g))
-    for g in a:
-        if taken.isdisjoint(g):
-            child.add(list(g))
-        else:
-            displaced += [i for i in g if i not in taken]
-    return child.place_all(displaced).items
+    shard = Shard(sizes, capacity)
+    child = shard.crossover(*(shard.packing(_labels(p, len(sizes))) for p in (a, b)), rng)
+    return _groups(shard.labels(child))
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -87,41 +144,47 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes), bool(sizes))
 
 
-def evolve(sizes: list[int], capacity: int, immigrants: list[list[list[int]]], seed: int, stall: int = STALL, most: int = MOST) -> list[list[int]]:
-    """The best packing an island finds, starting from greedy packings (of which the first is plain best fit decreasing) and
-    the immigrants."""
-    rng, bound = random.Random(seed), lower_bound(sizes, capacity)
-    scored: list[tuple[float, int, list[list[int]]]] = []
+def evolve(sizes: list[int], capacity: int, immigrants: list[list[list[int]]], seed: int, most: int = CROSSOVERS) -> list[list[int]]:
+    return _groups(search(sizes, capacity, [_labels(p, len(sizes)) for p in immigrants], seed, most)[0])
 
-    def add(bins: list[list[int]]) -> bool:
-        """Take a packing in where it is new and among the best; whether it is the best."""
+
+def search(sizes: list[int], capacity: int, immigrants: list[list[int]], seed: int, most: int = CROSSOVERS) -> tuple[list[int], float]:
+    """The best packing an island finds (the container of each item) and its fitness, starting from greedy packings (of which
+    the first is plain best fit decreasing) and the immigrants."""
+    rng, bound, shard = random.Random(seed), lower_bound(sizes, capacity), Shard(sizes, capacity)
+    scored: list[tuple[float, int, Packing]] = []
+    tried = 0
+
+    def add(packing: Packing) -> None:
+        """Take a packing in where it is new and among the best."""
         nonlocal tried
         tried += 1
-        f = fitness(bins, sizes, capacity)
-        best = not scored or f > scored[0][0]
+        f = shard.fitness(packing)
         if all(f != g for g, _, _ in scored):
-            insort(scored, (f, -tried, bins), key=lambda x: (-x[0], -x[1]))
+            insort(scored, (f, -tried, packing), key=lambda x: (-x[0], -x[1]))
             del scored[POPULATION:]
-        return best
 
-    tried = 0
-    for p in immigrants:
-        add(p)
-    for k in range(POPULATION - len(immigrants)):
-        if scored and len(scored[0][2]) <= bound:
-            return scored[0][2]
-        noise = 0.25 * k if not immigrants else 0.3
+    def greedy(noise: float) -> Packing:
         start = Bins(sizes, capacity)
         for i in sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * rng.random())):
             start.place(i)
-        add(start.items)
-    since = 0
+        return shard.packing(_labels(start.items, len(sizes)))
+
+    def met() -> bool:
+        return bool(scored) and len(scored[0][2].loads) <= bound
+
+    for p in immigrants:
+        add(shard.packing(p))
+    for k in range(POPULATION - len(immigrants)):
+        if not met():
+            add(greedy(0.25 * k if not immigrants else 0.3))
     for _ in range(most):
-        if len(scored[0][2]) <= bound or since >= stall or len(scored) < 2:
+        if met():
             break
-        i, j = rng.sample(range(len(scored)), 2)
-        since = 0 if add(crossover(scored[i][2], scored[j][2], sizes, capacity, rng)) else since + 1
-    return scored[0][2]
+        # packings as good as each other count as one, so there may be no second parent: then another start
+        a, b = rng.sample(scored, 2) if len(scored) > 1 else (None, None)
+        add(shard.crossover(a[2], b[2], rng) if a else greedy(0.3))
+    return shard.labels(scored[0][2]), scored[0][0]
 
 
 def _labels(bins: list[list[int]], n: int) -> list[int]:
@@ -147,9 +210,9 @@ def _round(number: int):
             cols = {n: batch.column(n).to_pylist() for n in ("sizes", "capacity", "shard", "island", "elites")}
             best, fit = [], []
             for sizes, capacity, shard, island, elites in zip(*cols.values(), strict=True):
-                found = evolve(sizes, capacity, [_groups(e) for e in elites], hash((number, shard, island)))
-                best.append(_labels(found, len(sizes)))
-                fit.append(fitness(found, sizes, capacity))
+                found, f = search(sizes, capacity, elites, hash((number, shard, island)))
+                best.append(found)
+                fit.append(f)
             keep = [c for c in batch.schema.names if c != "elites"]
             arrays = [batch.column(c) for c in keep] + [pa.array(best, pa.list_(pa.int32())), pa.array(fit, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "elite", "fit"])

@@ -134,6 +134,26 @@ def test_search_beats_best_fit_on_hard_sizes():
     assert bound <= found < greedy, (bound, found, greedy)
 
 
+def test_search_is_made_whole(monkeypatch):
+    """Crossovers that improve nothing don't end a search: only the bound does, or their number."""
+    made = []
+    cross = K.Shard.crossover
+    monkeypatch.setattr(K.Shard, "crossover", lambda *a: made.append(1) or cross(*a))
+    few = whole = 0
+    for seed in range(4):
+        rng = random.Random(seed)
+        sizes = [rng.randint(200, 500) for _ in range(600)]
+        few += len(K.evolve(sizes, 1000, [], seed, most=3))
+        made.clear()
+        whole += len(best := K.evolve(sizes, 1000, [], seed))
+        valid(best, sizes, 1000)
+        assert len(made) == K.CROSSOVERS or len(best) == K.lower_bound(sizes, 1000)
+    assert whole < few, (whole, few)
+    made.clear()
+    assert len(K.evolve([500] * 600, 1000, [], 1)) == 300 and not made  # meets its bound at once
+    valid(K.evolve([7, 0, 0, 1], 7, [[[0], [1, 2, 3]]], 1), [7, 0, 0, 1], 7)
+
+
 def test_pack_corpus(spark):
     rng = random.Random(1)
     texts = [None, "", *(" a" * rng.randint(1, 70) for _ in range(400)), " a" * 1000]
