@@ -36,6 +36,8 @@ _SEPARATOR = re.compile("[\x1c-\x1f]").search
 MEMORY = 500_000
 #: Longer pieces aren't kept: they hardly repeat.
 LONG = 100
+#: Runs whose words are kept, and the most characters of one.
+RUNS, RUN = 4, 100_000
 
 
 class Memory(dict):
@@ -77,10 +79,7 @@ class Sizer:
 
     def __call__(self, parts: list[str]) -> list[int]:
         """Sizes of the pieces of one text, in order."""
-        out = list(map(self._memory.__getitem__, parts))
-        if out:
-            out[0] = self.first(parts[0])
-        return out
+        return [self.first(parts[0]), *map(self._memory.__getitem__, parts[1:])] if parts else []
 
     def first(self, piece: str) -> int:
         return self._first[piece]
@@ -90,6 +89,12 @@ def digits_as_zero(piece: str) -> str:
     return _DIGIT("0", piece)
 
 
+def _kept(words):
+    """``words`` with a memory of the last runs: each budget of a tokenizer asks for the same."""
+    last = lru_cache(RUNS)(words)
+    return lambda p: last(p) if len(p) <= RUN else words(p)
+
+
 def byte_words():
     """The cut of a piece into the words of byte_bpe_50k; plain ASCII, nearly all pieces, has a faster pattern."""
     import regex
@@ -101,7 +106,9 @@ def byte_words():
 def _byte_sizer(folder: str, name: str) -> Sizer:
     encode, words = byte_encoding(folder, name)._core_bpe.encode_ordinary, byte_words()
     word = Memory(lambda w: len(encode(w)))
-    return Sizer(lambda p: sum(map(word.__getitem__, words(p))), words=lambda p: [(len(w), word[w]) for w in words(p)])
+    run = _kept(lambda p: [(len(w), word[w]) for w in words(p)])
+    # short pieces are encoded faster than cut
+    return Sizer(lambda p: len(encode(p)) if len(p) <= LONG else sum(n for _, n in run(p)), words=run)
 
 
 def _word_sizer(folder: str, name: str) -> Sizer:
@@ -111,7 +118,8 @@ def _word_sizer(folder: str, name: str) -> Sizer:
     t = Tokenizer.from_file(f"{folder}/{name}.json")
     t.encode_special_tokens = True
     ascii_words, words = re.compile(WORD_PATTERN.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.A).findall, regex.compile(WORD_PATTERN).findall
-    word = Memory(lambda w: len(t.encode(w, add_special_tokens=False).ids))
+    merge = t.model.tokenize  # a word is one of the pattern's, in normal form; its bytes are written as they are in plain ASCII
+    word = Memory(lambda w: len(merge(w) if w.isascii() and w.isprintable() else t.encode(w, add_special_tokens=False).ids))
 
     def size(p: str) -> int:
         if p.isascii():
@@ -125,7 +133,7 @@ def _word_sizer(folder: str, name: str) -> Sizer:
         found = words(low)
         return [(len(w), word[w]) for w in found] if len(low) == len(p) == sum(map(len, found)) else None
 
-    return Sizer(size, shaped=True, words=sized)
+    return Sizer(size, shaped=True, words=_kept(sized))
 
 
 def _sentence_sizer(folder: str, name: str) -> Sizer:
@@ -158,15 +166,16 @@ class Profile:
         shaped = [s.later for s in sizers if s.shaped]
         exact = [s.later for s in sizers if not s.shaped]
         self._order = [*(i for i, s in enumerate(sizers) if not s.shaped), *(i for i, s in enumerate(sizers) if s.shaped)]
-        shape = Memory(lambda q: (*(f(q) for f in shaped), *(trait(q) if trait else ())))
-        self._memory = Memory(lambda p: (*(f(p) for f in exact), *shape[digits_as_zero(p)]))
+        shape = Memory(lambda q: (*[f(q) for f in shaped], *(trait(q) if trait else ())))
+        self._memory = Memory(lambda p: (*[f(p) for f in exact], *shape[_DIGIT("0", p)]))
 
-    def columns(self, parts: list[str]) -> tuple[list[list[int]], list[tuple]]:
+    def columns(self, parts: list[str]) -> tuple[list[list[int]], list[list]]:
         """For each tokenizer the sizes of the pieces of one text, and the traits' columns."""
-        cols = list(zip(*map(self._memory.__getitem__, parts), strict=True))
+        rows = list(map(self._memory.__getitem__, parts))
+        cols = [[r[k] for r in rows] for k in range(len(rows[0]) if rows else 0)]
         sizes: list[list[int]] = [[] for _ in self.sizers]
         for i, col in zip(self._order, cols, strict=False):
-            sizes[i] = list(col)
+            sizes[i] = col
             if sizes[i] and self.sizers[i].alone is not self.sizers[i].later:
                 sizes[i][0] = self.sizers[i].first(parts[0])
         return sizes, cols[len(self.sizers) :]

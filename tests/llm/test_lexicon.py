@@ -49,6 +49,31 @@ def test_pieces_are_independent(text):
     assert [g[0] for g in got] == [len(ENCODING.encode_ordinary(text)), len(_sp.encode(text)), len(_w.encode(text, add_special_tokens=False).ids)]
 
 
+def test_runs_and_first_pieces_are_sized_once(monkeypatch):
+    """A run's words are cut once for all budgets of a tokenizer, and the piece a text begins with is encoded once."""
+    cut, cuts, encoded = T.byte_words(), [], []
+    monkeypatch.setattr(T, "byte_words", lambda: lambda p: cuts.append(p) or cut(p))
+    byte, run = T._byte_sizer(T.TOKENIZERS, "byte_bpe_50k"), "支払期限は翌月末日です。" * 40
+    assert byte([run]) == [len(ENCODING.encode_ordinary(run))]
+    assert byte.words(run) == byte.words(run) and sum(n for n, _ in byte.words(run)) == len(run)
+    assert cuts == [run]
+    sizer = T.Sizer(lambda p: encoded.append(p) or 1, lambda p: 2)
+    assert sizer(["ab"]) == [2] and sizer(["ab", " c"]) == [2, 1] and sizer([]) == []
+    assert encoded == [" c"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "word_bpe_49k"])
+def test_odd_words(name):
+    """Words that are merged without the tokenizer's own cut have the sizes it gives them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{T.TOKENIZERS}/word_bpe_49k.json")
+    t.encode_special_tokens = True
+    encode = ENCODING.encode_ordinary if name == "byte_bpe_50k" else lambda p: t.encode(p, add_special_tokens=False).ids
+    for p in ("<|startoftext|>", " <|ENDoftext|>'s", "a\x00\x07b\x7f", "'''S'LL", " €8,125.03", "  \t$-.07", "z" * 100, "Z9" * 51, "İstanbul", "ΣΑΣ", "x\x1cy"):
+        assert T.counts(T.TOKENIZERS, [name], [p]) == [[len(encode(p))]], p
+
+
 def test_unknown_tokenizer():
     with pytest.raises(FileNotFoundError):
         T.sizer(T.TOKENIZERS, "none")
