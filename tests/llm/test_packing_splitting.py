@@ -83,6 +83,16 @@ def test_pieces_with_runs(parts, budget):
     check_pieces("".join(parts), *budget)
 
 
+def test_words_of_a_run_serve_all_budgets(monkeypatch):
+    cut, cuts = T.byte_words(), []
+    monkeypatch.setattr(T, "byte_words", lambda: lambda p: cuts.append(p) or cut(p))
+    run = "支払期限は翌月末日です。" * 80
+    profile = T.Profile([T._byte_sizer(T.TOKENIZERS, "byte_bpe_50k")], S._marks)
+    got = S.parts_of(f"some words {run} and more", profile, [(0, 60, 5), (0, 40, 4)])
+    assert cuts.count(" " + run) == 1
+    assert got == [S.split_text(f"some words {run} and more", *budget, SIZER) for budget in ((60, 5), (40, 4))]
+
+
 def test_split_query(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b " * 100, 5), (3, "a b " * 100, 5)], "doc_id long, text string, piece_no int")
     got = S.split_oversized(docs, [(1, "byte_bpe_50k", 50, 5), (2, "word_bpe_49k", 100, 0)]).collect()
