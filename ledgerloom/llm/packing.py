@@ -259,18 +259,18 @@ def text_items(docs: DataFrame, budgets: list[tuple[int, str, int]], key: str =
         profile = tokens.profile(folder, tuple(names))
         for batch in batches:
             rows = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                cut = tokens.pieces(t) if t else []
-                sizes = profile.columns(cut)[0] if t else [[] for _ in names]
-                for budget, name, capacity in budgets:
-                    at = names.index(name)
-                    sizer, own, n = profile.sizers[at], cut, sizes[at]
-                    if t and "\r" in t and sizer.cut is not tokens.pieces:  # the cuts of tokenizers differ in carriage returns only
-                        own = sizer.cut(t)
-                        n = sizer(own)
-                    total = sum(n)
-                    parts = splitting.fill_text(t, capacity, sizer, own, n) if total > capacity else [(0, len(t or ""), total)]
-                    rows += [(i, budget, capacity, no, size, start, end) for no, (start, end, size) in enumerate(parts)]
+            for group in tokens.groups([(i, t or "") for i, t in enumerate(batch.column(1).to_pylist())]):
+                cuts = [tokens.pieces(t) for _, t in group]
+                for (i, t), cut, sizes in zip(group, cuts, profile.columns(cuts), strict=True):
+                    for budget, name, capacity in budgets:
+                        at = names.index(name)
+                        sizer, own, n = profile.sizers[at], cut, sizes[at]
+                        if "\r" in t and sizer.cut is not tokens.pieces:  # the cuts of tokenizers differ in carriage returns only
+                            own = sizer.cut(t)
+                            n = sizer(own)
+                        total = sum(n)
+                        parts = splitting.fill_text(t, capacity, sizer, own, n) if total > capacity else [(0, len(t), total)]
+                        rows += [(i, budget, capacity, no, size, start, end) for no, (start, end, size) in enumerate(parts)]
             which, *columns = zip(*rows, strict=True) if rows else [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *map(pa.array, columns, kinds)], names=["key", "budget_id", "capacity", "part_no", "size", "start", "end"])

@@ -17,11 +17,13 @@ empty table gives an empty table; a limit under 8 tokens is an error, an overlap
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +49,20 @@ def _marks(piece: str) -> tuple[int, bool]:
     return kind, bool(_SENTENCE_END(piece))
 
 
-def boundaries(kinds: list[int], ends: list[bool]) -> list[int]:
-    """For each piece the separator between it and the piece before; the first starts a page."""
-    return [PAGE, *[k if k < WORD or not end else SENTENCE for k, end in zip(kinds[1:], ends)]]
+def boundaries(kinds: np.ndarray, ends: np.ndarray, starts: list[int]) -> np.ndarray:
+    """For each piece the separator between it and the piece before; the first of a text, at ``starts``, starts a page."""
+    out = kinds.copy()
+    out[1:][(out[1:] == WORD) & (ends[:-1] != 0)] = SENTENCE
+    out[starts] = PAGE
+    return out
 
 
-def units(strong: list[list[int]], prefix: list[int], fits: int) -> list[tuple[int, int]]:
-    """Ranges of pieces, in order: each is a block between separators as strong as possible with at most ``fits`` tokens,
-    or a single piece. ``strong[level]``: the pieces that a separator of this level or a stronger one precedes."""
+def units(strong: list[list[int]], prefix: array, fits: int, first: int, last: int) -> list[tuple[int, int]]:
+    """Ranges of the pieces from ``first`` to before ``last``, in order: each is a block between separators as strong as
+    possible with at most ``fits`` tokens, or a single piece. ``strong[level]``: the pieces that a separator of this level or
+    a stronger one precedes."""
     out: list[tuple[int, int]] = []
-    work = [(0, len(prefix) - 1, PAGE)]
+    work = [(first, last, PAGE)]
     while work:
         a, b, level = work.pop()
         if prefix[b] - prefix[a] <= fits or b - a == 1:
@@ -96,29 +102,51 @@ def _fitting(measure, most_chars: int, limit: int, per_char: float) -> tuple[int
 
 class Run:
     """A run without white space: tokens of its parts, by sums over words where the tokenizer has any (no token reaches from one
-    into the next), else by encoding."""
+    into the next), else by encoding. Places are those in the text."""
 
     def __init__(self, text: str, start: int, end: int, per_char: float, sizer: tokens.Sizer, size):
-        self.text, self.end, self.per_char, self.size = text, end, per_char, size
+        self.text, self.start, self.end, self.per_char, self.size = text, start, end, per_char, size
         words = sizer.words(text[start:end]) if sizer.words else None
-        self.at = list(accumulate((n for n, _ in words), initial=start)) if words else []
-        self.sums = list(accumulate((n for _, n in words), initial=0)) if words else []
-        body = text[start:end]
-        lead = start + len(body) - len(body.lstrip())  # how white space is cut depends on what follows it
-        self.place = {p: i for i, p in enumerate(self.at) if p == start or p > lead}
+        self.at, self.sums, self.place = (words.at, words.sums, words.place) if words else ([], [], {})
+        self._last: tuple[int, tuple[int, int] | None] = (-1, None)
+
+    def word(self, at: int) -> tuple[int, int] | None:
+        """The first word that starts at this place or behind it, and the tokens before that word; None where they can't be told."""
+        if self._last[0] != at:
+            i, n = self.place.get(at - self.start), 0
+            if i is None and self.place:
+                i = bisect_right(self.at, at - self.start)
+                # the rest of a word of letters is a word; that of a long one takes too long to encode again and again
+                if self.at[i] in self.place and self.at[i] + self.start - at <= tokens.LONG and self.text[self.start + self.at[i - 1] : self.start + self.at[i]].isalpha():
+                    n = self.size(self.text[at : self.start + self.at[i]])
+                else:
+                    i = None
+            self._last = at, None if i is None else (i, n)
+        return self._last[1]
 
     def tokens(self, a: int, b: int) -> int:
-        i, j = self.place.get(a), self.place.get(b)
-        return self.size(self.text[a:b]) if i is None or j is None else self.sums[j] - self.sums[i]
+        known, j = self.word(a), self.place.get(b - self.start)
+        return self.size(self.text[a:b]) if known is None or j is None or j < known[0] else known[1] + self.sums[j] - self.sums[known[0]]
+
+    def most(self, at: int, limit: int, before: int = 0) -> tuple[int, int] | None:
+        """The last word whose start, from ``at``, is within the limit, ``before`` tokens being used already, and the tokens up to
+        it; None where words don't tell."""
+        known = self.word(at)
+        if known is None or known[1] + before > limit:
+            return None
+        i, n = known
+        j = bisect_right(self.sums, self.sums[i] + limit - before - n) - 1
+        return (j, self.sums[j] - self.sums[i] + n + before) if self.at[j] in self.place else None
 
     def reach(self, at: int, limit: int, before: int = 0, later=None) -> tuple[int, int]:
         """(end, tokens) of about the longest part from ``at`` within the limit, ``before`` tokens being used already."""
-        i = self.place.get(at)
-        if i is not None:
-            j = bisect_right(self.sums, self.sums[i] + limit - before) - 1
-            n = self.sums[j] - self.sums[i] + before
-            if j > i and self.at[j] in self.place and (self.at[j] == self.end or limit - n <= max(2, limit // 30)):
-                return self.at[j], n
+        if (found := self.most(at, limit, before)) and (low := self.start + self.at[found[0]]) > at:
+            n = found[1]
+            if low == self.end or limit - n <= max(2, limit // 30):
+                return low, n
+            # no more than a part of the next word fits
+            chars, m = _fitting(lambda k: self.size(self.text[low : low + k]), self.start + self.at[found[0] + 1] - low, limit - n, self.per_char)
+            return (low + chars, n + m) if n + m <= limit else (low, n)
         measure = (lambda k: before + later(self.text[at : at + k])) if later else lambda k: self.tokens(at, at + k)
         chars, n = _fitting(measure, self.end - at, limit, self.per_char)
         self.per_char = max(0.01, (n - before) / chars)
@@ -126,11 +154,11 @@ class Run:
 
     def tail(self, low: int, end: int, most: int) -> int:
         """Where the characters begin that end at ``end``, from ``low`` on, and have at most so many tokens."""
-        j = self.place.get(end)
+        j = self.place.get(end - self.start)
         if j is not None and most > 0:
             i = bisect_left(self.sums, self.sums[j] - most)
-            if i < j and self.at[i] >= low and self.at[i] in self.place and most - self.sums[j] + self.sums[i] <= max(2, most // 30):
-                return self.at[i]
+            if i < j and self.at[i] >= low - self.start and self.at[i] in self.place and most - self.sums[j] + self.sums[i] <= max(2, most // 30):
+                return self.start + self.at[i]
         return _tail(self.text, low, end, most, self.per_char, self.size)[0]
 
 
@@ -147,35 +175,52 @@ def _within(text: str, start: int, end: int, limit: int, overlap: int, tokens_in
     up to the last sentence end that fits, else the last other punctuation, else as many characters as fit. ``seed``: start
     and tokens of the overlap before the run, with which the first piece begins; ``later``: tokens of a piece behind it."""
     run = Run(text, start, end, max(0.01, tokens_in / (end - start)), sizer, size)
-    marks = [[m.end() for m in p.finditer(text, start, end)] for p in (_INNER_SENTENCE, _INNER_MARK)]
+    marks = _inner_marks(text[start:end])
+
+    def behind(done: int, low: int, n: int, tokens_to) -> tuple[int, int]:
+        cut, n = _behind_mark(marks, done - start, low - start, n, limit, lambda p: tokens_to(start + p))
+        return start + cut, n
+
+    def reach(at: int, done: int, tokens_to, *before) -> tuple[int, int]:
+        """(end, tokens) of the piece from ``at`` that has something behind ``done``."""
+        if (found := run.most(at, limit, *before[:1])) and (j := found[0] + 1) < len(run.at) and run.at[j] - run.at[j - 1] <= tokens.LONG:
+            # a mark that fits can't lie behind the next word
+            low, n = behind(done, start + run.at[j], limit + 1, tokens_to)
+            if n <= limit:
+                return low, n
+        low, n = run.reach(at, limit, *before)
+        return behind(done, low, n, tokens_to) if done < low < end and n <= limit else (low, n)
+
     at = done = start
     if seed and seed[0] < start:
-        low, n = run.reach(start, limit, seed[1], later)
+        low, n = reach(start, done, lambda p: seed[1] + (run.sums[run.place[p - start]] if p - start in run.place else later(text[start:p])), seed[1], later)
         if n <= limit:
-            if low < end:
-                low, n = _behind_mark(marks, done, low, n, limit, lambda p: seed[1] + (run.sums[run.place[p]] if p in run.place else later(text[start:p])))
             yield seed[0], low, n
             if low >= end:
                 return
             at, done = run.tail(seed[0] + 1, low, overlap), low
     while True:
-        low, n = run.reach(at, limit)
+        low, n = reach(at, done, lambda p: run.tokens(at, p))
         if low <= done and at < done:  # nothing new fits behind the overlap
             at = done
             continue
-        if low < end:
-            low, n = _behind_mark(marks, done, low, n, limit, lambda p: run.tokens(at, p))
         yield at, low, n
         if low >= end:
             return
         at, done = run.tail(at + 1, low, overlap), low
 
 
+@tokens.kept
+def _inner_marks(run: str) -> list[list[int]]:
+    """Where sentences end in a run, and where other punctuation does."""
+    return [[m.end() for m in p.finditer(run)] for p in (_INNER_SENTENCE, _INNER_MARK)]
+
+
 def _behind_mark(marks: list[list[int]], done: int, low: int, n: int, limit: int, tokens_to) -> tuple[int, int]:
     """The best cut after ``done`` of a piece that may reach to ``low`` with n tokens: (cut, tokens)."""
     for places in marks:
         for i in range(bisect_right(places, low) - 1, bisect_right(places, done) - 1, -1):
-            if places[i] == low:
+            if places[i] == low and n <= limit:
                 return low, n
             m = tokens_to(places[i])
             if m <= limit:  # a shorter text can have more tokens
@@ -184,19 +229,35 @@ def _behind_mark(marks: list[list[int]], done: int, low: int, n: int, limit: int
 
 
 class Cut:
-    """A text's pieces with their sizes by each tokenizer, and where it can be cut (worked out where a text is too long)."""
-
-    def __init__(self, parts: list[str], profile: tokens.Profile):
-        self.parts = parts
-        self.sizes, (self.kinds, self.ends) = profile.columns(parts)
-        self._places: tuple[list[list[int]], list[int]] | None = None
-
-    def places(self) -> tuple[list[list[int]], list[int]]:
-        """For each level the pieces that a separator as strong precedes, and where each piece starts."""
+    """The pieces of texts, one text after the other, with their sizes by each tokenizer, and where the texts can be cut (worked
+    out where one is too long). ``starts``: the piece that each text starts with, and the number of pieces."""
+
+    def __init__(self, cuts: list[list[str]], profile: tokens.Profile):
+        self.parts = list(chain.from_iterable(cuts))
+        self.starts = [0, *accumulate(map(len, cuts))]
+        self._rows, self._chars = profile.rows(self.parts, self.starts[:-1]), len(profile.sizers)
+        self._sums: dict[int, array] = {}
+        self._places: tuple[list[list[int]], array, str] | None = None
+
+    def sums(self, at: int) -> array:
+        """Tokens before each piece, and in all, by the tokenizer at this position."""
+        if at not in self._sums:
+            self._sums[at] = array("q", [0])
+            self._sums[at].frombytes(np.cumsum(self._rows[:, at], dtype=np.int64).tobytes())
+        return self._sums[at]
+
+    def total(self, at: int, no: int) -> int:
+        """Tokens of a text."""
+        sums = self.sums(at)
+        return sums[self.starts[no + 1]] - sums[self.starts[no]]
+
+    def places(self) -> tuple[list[list[int]], array, str]:
+        """For each level the pieces that a separator as strong precedes, where each piece starts, and the texts as one."""
         if self._places is None:
-            levels = boundaries(self.kinds, self.ends)
-            cuts = [(i, k) for i, k in enumerate(levels) if k < WORD]
-            self._places = [[i for i, k in cuts if k <= level] for level in range(WORD)], [0, *accumulate(map(len, self.parts))]
+            levels = boundaries(self._rows[:, -2], self._rows[:, -1], self.starts[:-1])
+            cuts = np.flatnonzero(levels < WORD)
+            levels = levels[cuts]
+            self._places = [cuts[levels <= level].tolist() for level in range(WORD)], self.sums(self._chars), "".join(self.parts)
         return self._places
 
 
@@ -211,22 +272,23 @@ def shared_profile(folder: str, names: tuple[str, ...]) -> tokens.Profile:
     return tokens.Profile([tokens.sizer(folder, n) for n in names], _marks)
 
 
-def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of each piece of a text above the limit; [] for one within it. ``known``: the text's cut, where
-    it is there already, with the sizes by this tokenizer at position ``at``."""
+def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known: Cut | None = None, at: int = 0, no: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of each piece of a text above the limit; [] for one within it. ``known``: a cut that has the text at
+    ``no``, where it is there already, with the sizes by this tokenizer at position ``at``."""
     if limit < 8:
         raise ValueError("a limit under 8 tokens is too small for any character")
     if not text:
         return []
-    known = known or Cut(sizer.cut(text), _own(sizer))
-    parts, n = known.parts, known.sizes[at]
-    if sum(n) <= limit:
+    known = known or Cut([sizer.cut(text)], _own(sizer))
+    if known.total(at, no) <= limit:
         return []
     overlap = min(overlap, limit // 2)
-    prefix = [0, *accumulate(n)]
-    strong, offset = known.places()
+    per_char = max(0.01, known.total(at, no) / len(text))
+    parts, prefix, first, last = known.parts, known.sums(at), *known.starts[no : no + 2]
+    strong, offset, text = known.places()  # from here on places are those in the texts as one
+
     def extra(i: int) -> int:  # tokens more than in the text, of a piece of pieces that begins with piece i
-        return 0 if sizer.alone is sizer.later else sizer.first(parts[i]) - n[i]
+        return 0 if sizer.alone is sizer.later else sizer.first(parts[i]) - prefix[i + 1] + prefix[i]
 
     def overlapping(a: int, end: int) -> int:
         """The first piece of the overlap before ``end``, no earlier than a + 1."""
@@ -241,11 +303,11 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
     out: list[tuple[int, int, int]] = []
     # the piece being filled: characters from ``start`` to where piece ``begin`` starts (part of the run before, if ``inner``),
     # then pieces [begin, end); what lies before ``fresh`` is overlap, unless ``due``: then the part of the run is new, too
-    begin = end = fresh = start = 0
+    begin = end = fresh = first
+    start = offset[first]
     inner = due = False
-    more = extra(0)  # tokens of the part, or those more than in the text
+    more = extra(first)  # tokens of the part, or those more than in the text
     fits = limit - overlap - 1
-    per_char = max(0.01, prefix[-1] / len(text))
 
     def close() -> None:
         """Put the piece out, if it has anything new, and begin the next one with its overlap."""
@@ -262,14 +324,14 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
         at, n = _tail(text, low, offset[s], overlap - prefix[end] + prefix[s], per_char, whole)
         inner = at < offset[s]
         begin, fresh, start, due = s, end, at, False
-        more = n if inner else extra(s) if s < len(parts) else 0
+        more = n if inner else extra(s) if s < last else 0
 
-    for a, b in units(strong, prefix, fits):
+    for a, b in units(strong, prefix, fits, first, last):
         if prefix[b] - prefix[begin] + more > limit:
             close()
-        if prefix[b] - prefix[begin] + more > limit and b - a == 1 and n[a] + extra(a) > fits:
+        if prefix[b] - prefix[begin] + more > limit and b - a == 1 and (n := prefix[b] - prefix[a]) + extra(a) > fits:
             seed = (start, prefix[a] - prefix[begin] + more) if start < offset[a] else None
-            *cuts, (start, _, more) = _within(text, offset[a], offset[b], limit, overlap, n[a], whole, sizer, seed, lambda t: sum(map(sizer.later, sizer.cut(t))))
+            *cuts, (start, _, more) = _within(text, offset[a], offset[b], limit, overlap, n, whole, sizer, seed, lambda t: sum(map(sizer.later, sizer.cut(t))))
             out += cuts
             begin = end = fresh = b
             inner = due = True
@@ -279,7 +341,7 @@ def split_text(text: str, limit: int, overlap: int, sizer: tokens.Sizer, known:
             inner, start, more = False, offset[begin], extra(begin)
         end = b
     close()
-    return out
+    return [(a - offset[first], b - offset[first], n) for a, b, n in out]
 
 
 def fill_text(text: str, limit: int, sizer: tokens.Sizer, parts: list[str], n: list[int]) -> list[tuple[int, int, int]]:
@@ -306,15 +368,19 @@ def fill_text(text: str, limit: int, sizer: tokens.Sizer, parts: list[str], n: l
 def parts_of(text: str, profile: tokens.Profile, wanted: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """For each (tokenizer's place in the profile, limit, overlap) the pieces (start, end, tokens) of a text, itself where it is
     within the limit. The text is cut and sized once for all."""
-    if not text:
-        return [[(0, 0, 0)] for _ in wanted]
-    known, odd = Cut(tokens.pieces(text), profile), "\r" in text  # the cuts of tokenizers differ in carriage returns only
-    out = []
-    for at, limit, overlap in wanted:
-        sizer = profile.sizers[at]
-        own = Cut(sizer.cut(text), _own(sizer)) if odd and sizer.cut is not tokens.pieces else None
-        found = split_text(text, limit, overlap, sizer, own or known, 0 if own else at)
-        out.append(found or [(0, len(text), sum((own or known).sizes[0 if own else at]))])
+    return parts_of_each([text], profile, wanted)[0] if text else [[(0, 0, 0)] for _ in wanted]
+
+
+def parts_of_each(texts: list[str], profile: tokens.Profile, wanted: list[tuple[int, int, int]]) -> list[list[list[tuple[int, int, int]]]]:
+    """``parts_of`` each of several texts, none of them empty, which are sized together."""
+    known, out = Cut(list(map(tokens.pieces, texts)), profile), []
+    for no, text in enumerate(texts):
+        odd = "\r" in text  # the cuts of tokenizers differ in carriage returns only
+        out.append([])
+        for at, limit, overlap in wanted:
+            sizer = profile.sizers[at]
+            cut, *place = (Cut([sizer.cut(text)], _own(sizer)), 0, 0) if odd and sizer.cut is not tokens.pieces else (known, at, no)
+            out[-1].append(split_text(text, limit, overlap, sizer, cut, *place) or [(0, len(text), cut.total(*place))])
     return out
 
 
@@ -338,17 +404,16 @@ def split_oversized(docs: DataFrame, budgets: list[tuple[int, str, int, int]], k
             return batch
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not t:
-                    continue
-                for (i, _, limit, _), found in zip(budgets, parts_of(t, profile, wanted), strict=True):
-                    if len(found) > 1 or found[0][2] > limit:
-                        for no, (a, b, n) in enumerate(found, 1):
-                            rows.append((i, k, no, a, b, n, t[a:b]))
-                            held += b - a
-                if held > 4_000_000:
-                    yield flush()
-                    held = 0
+            for group in tokens.groups([(k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]):
+                for (k, t), each in zip(group, parts_of_each([t for _, t in group], profile, wanted), strict=True):
+                    for (i, _, limit, _), found in zip(budgets, each, strict=True):
+                        if len(found) > 1 or found[0][2] > limit:
+                            for no, (a, b, n) in enumerate(found, 1):
+                                rows.append((i, k, no, a, b, n, t[a:b]))
+                                held += b - a
+                    if held > 4_000_000:
+                        yield flush()
+                        held = 0
         if rows:
             yield flush()
 

@@ -8,7 +8,7 @@ from ledgerloom.llm import packing as K
 from ledgerloom.llm import splitting as S
 from ledgerloom.llm import tokens as T
 
-SIZER = T.sizer(T.TOKENIZERS, "byte_bpe_50k")
+SIZER, ENCODING = T.sizer(T.TOKENIZERS, "byte_bpe_50k"), T.byte_encoding(T.TOKENIZERS)
 size = lambda t: sum(SIZER(SIZER.cut(t)))
 
 
@@ -93,6 +93,83 @@ def test_words_of_a_run_serve_all_budgets(monkeypatch):
     assert got == [S.split_text(f"some words {run} and more", *budget, SIZER) for budget in ((60, 5), (40, 4))]
 
 
+def test_letters_of_other_lengths_in_small():
+    """A dotted I is two letters in small and an accent joins its letter: together they move the places of words between."""
+    text, sizer = "'re'reİ're'ree\u0301", T.sizer(T.TOKENIZERS, "word_bpe_49k")
+    got = S.split_text(text, 8, 4, sizer)
+    assert got and all(n == sum(sizer(sizer.cut(text[a:b]))) <= 8 for a, b, n in got)
+
+
+class Counting:
+    """An encoding that keeps what it is asked for."""
+
+    def __init__(self, asked):
+        self.own, self.asked, self._core_bpe = ENCODING, asked, self
+        self.n_vocab, self._mergeable_ranks = ENCODING.n_vocab, ENCODING._mergeable_ranks
+
+    def encode_ordinary(self, text):
+        self.asked.append(text)
+        return self.own.encode_ordinary(text)
+
+    def encode_to_numpy(self, text, **how):
+        self.asked.append(text)
+        return self.own.encode_to_numpy(text, **how)
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    """Numbers, which hardly repeat, are sized in one go, not one by one."""
+    asked = []
+    monkeypatch.setattr(T, "byte_encoding", lambda *_: Counting(asked))
+    profile = T.Profile([T._byte_sizer(T.TOKENIZERS, "byte_bpe_50k")], S._marks)
+    text = "\n".join(f"item {i} is {7919 * i:,}.{i % 97} in all" for i in range(400))
+    got = S.parts_of(text, profile, [(0, 60, 5), (0, 40, 4)])
+    assert got == [S.split_text(text, *budget, SIZER) for budget in ((60, 5), (40, 4))]
+    assert len(asked) < 20, len(asked)
+
+
+def test_runs_are_sized_by_their_words(monkeypatch):
+    """A piece of a run that begins inside a word isn't cut into words again to be sized."""
+    cut, cuts = T.byte_words(), []
+    monkeypatch.setattr(T, "byte_words", lambda: lambda p: cuts.append(p) or cut(p))
+    run = "".join(f"支払期限は翌月末日です請求書番号{i}。" for i in range(60))
+    got = S.split_text(run, 300, 30, T._byte_sizer(T.TOKENIZERS, "byte_bpe_50k"))
+    assert len(got) > 5 and all(n == size(run[a:b]) for a, b, n in got)
+    assert cuts == [run]
+
+
+ODD = ["x", " y", " ", "a\n\n", "\x1cb", " .\x1c", "1 2 3 " * 30, "x9" * 90, "\r\na \r b" * 9, "日本。" * 40, "\u3000é 7", "Ends here.\n" * 9]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(ODD), min_size=1, max_size=12), st.sampled_from([3, 500_000]))
+def test_texts_sized_together(texts, most):
+    """Texts that share a cut have the pieces that they have alone, whatever the memory holds."""
+    names, wanted = ("byte_bpe_50k", "piece_bpe_32k", "word_bpe_49k"), [(0, 20, 5), (1, 16, 0), (2, 30, 4)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(T, "MEMORY", most)
+        profile = T.Profile([T.sizer(T.TOKENIZERS, n) for n in names], S._marks)
+    for _ in range(2):
+        got = S.parts_of_each(texts, profile, wanted)
+        for t, each in zip(texts, got, strict=True):
+            for (at, limit, overlap), found in zip(wanted, each, strict=True):
+                sizer = profile.sizers[at]
+                assert found == (S.split_text(t, limit, overlap, sizer) or [(0, len(t), sum(sizer(sizer.cut(t))))])
+                assert all(n == sum(sizer(sizer.cut(t[a:b]))) for a, b, n in found)
+    assert S.parts_of("", profile, wanted) == [[(0, 0, 0)]] * 3
+    assert sum(map(len, T.groups([(0, t) for t in texts]))) == len(texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["'re", "'", "abcdefgh" * 3, "Zq" * 70, "日本語支払期限", "。", "12", "!", "_-", "İ", "e\u0301", ".a", " ", "ΑΣ"]), min_size=5, max_size=60), st.sampled_from([(8, 4), (16, 6), (40, 10)]), st.sampled_from(["byte_bpe_50k", "word_bpe_49k"]))
+def test_sums_from_any_place(parts, budget, name):
+    text, sizer = "".join(parts), T.sizer(T.TOKENIZERS, name)
+    whole = lambda t: sum(sizer(sizer.cut(t)))
+    got = S.split_text(text, *budget, sizer)
+    assert bool(got) == (whole(text) > budget[0])
+    assert all(n == whole(text[a:b]) <= budget[0] for a, b, n in got)
+    assert all(a < c <= b < d and whole(text[c:b]) <= budget[1] for (a, b, _), (c, d, _) in zip(got, got[1:]))
+
+
 def test_split_query(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b " * 100, 5), (3, "a b " * 100, 5)], "doc_id long, text string, piece_no int")
     got = S.split_oversized(docs, [(1, "byte_bpe_50k", 50, 5), (2, "word_bpe_49k", 100, 0)]).collect()
